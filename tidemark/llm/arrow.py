@@ -47,3 +47,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Odd factor of the running hashes, its inverse modulo 2**64, and a fixed number for each byte.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(FACTOR))
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) modulo 2**64, kept up to the largest n seen."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 16), base, np.uint64)
+        held[0] = 1
+        held = _powers[base] = np.multiply.accumulate(held)
+    return held[:n]
+
+
+def running(codes: np.ndarray) -> np.ndarray:
+    """Sums of codes[j] * FACTOR ** j before each place, for span_hashes."""
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * powers(FACTOR, len(codes)), out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span [start, end); equal spans have equal hashes wherever they lie."""
+    return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(sums))[starts] + (ends - starts).astype(np.uint64))
+
+
+def words(data: np.ndarray, starts: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all maximal runs of bytes outside `space` (a truth value for each byte), and their rows."""
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 3
+    inside = ~space[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return begin, end, np.searchsorted(starts, begin, side="right") - 1

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, media, pieces, quality
+from tidemark.llm import langid, media, pieces, pii, quality
 from tidemark.llm.sharding import op9_jump_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_filters": langid.op6_language_filters,
     "op8_media_columns": media.op8_media_columns,
     "op9_jump_shards": op9_jump_shards,
+    "op10_feistel_pseudonyms": pii.op10_feistel_pseudonyms,
 }
 
 ORACLE_SQL: dict[str, str] = {
