@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, media, pieces, pii, quality
+from tidemark.llm import langid, media, mixing, pieces, pii, quality
 from tidemark.llm.sharding import op9_jump_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_raked_mixture": mixing.op2_raked_mixture,
     "op4_piece_codec": pieces.op4_piece_codec,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_language_filters": langid.op6_language_filters,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_raked_mixture": mixing.SQL,
     "op5_quality_rules": quality.SQL,
 }
