@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, media, mixing, pieces, pii, quality
+from tidemark.llm import langid, media, mixing, pieces, pii, quality, toxicity
 from tidemark.llm.sharding import op9_jump_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_piece_codec": pieces.op4_piece_codec,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_language_filters": langid.op6_language_filters,
+    "op7_toxicity_chain": toxicity.op7_toxicity_chain,
     "op8_media_columns": media.op8_media_columns,
     "op9_jump_shards": op9_jump_shards,
     "op10_feistel_pseudonyms": pii.op10_feistel_pseudonyms,
