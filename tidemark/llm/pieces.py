@@ -239,4 +239,4 @@ def piece_digests(docs: DataFrame) -> DataFrame:
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: each document's ids, the original byte bounds of its pieces, and what they decode to."""
-    return encode_documents(docs)
+    return encode_documents(docs).withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
