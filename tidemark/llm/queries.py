@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import jaccard, langid, media, mixing, pieces, pii, quality, toxicity
+from tidemark.llm import jaccard, langid, media, mixing, pieces, pii, quality, suffixes, toxicity
 from tidemark.llm.sharding import op9_jump_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_family": suffixes.op1_suffix_family,
     "op2_raked_mixture": mixing.op2_raked_mixture,
     "op3_parity_join": jaccard.op3_parity_join,
     "op4_piece_codec": pieces.op4_piece_codec,
