@@ -128,9 +128,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with the columns of documents."""
+    """The documents that the rules keep, with the columns of documents.
+
+    The filter is tied to a row number, so that it isn't moved below the columns it needs, which
+    would then be computed again for each of their uses.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(docs, labels).where("kept").select(*docs.columns)
+    judged = quality_rules(docs, labels).withColumn("_keep", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return judged.where("_keep").select(*docs.columns)
 
 
 #: Grams and weights for DuckDB, for `docs` a table name.
