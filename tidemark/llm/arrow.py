@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one step handles at once; a longer text is a piece of its own.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -41,8 +41,8 @@ LENGTH, ANCHOR = 200, 40
 PLACES = LENGTH - ANCHOR + 1
 #: Bytes of suffixes that a task should hold, and ranges of hashes for each task.
 TASK_BYTES, PARTS_PER_TASK = 24_000_000, 8
-#: Bytes of text in one batch of documents.
-BATCH_BYTES = 4_000_000
+#: Suffixes of one batch of documents, about.
+BATCH_SUFFIXES = 200_000
 SUFFIX = np.dtype([("key", "u8"), ("context", "u8"), ("row", "i8"), ("start", "i8"), ("lead", "u1"), ("more", "u1"), ("settled", "u1"), ("pad", "u1", 5)])
 
 
@@ -58,10 +58,10 @@ def least_in_window(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def suffixes(data: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchored suffixes of documents that lie end to end: SUFFIX entries, and the number of each one's document."""
+def suffixes(data: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Anchored suffixes of documents that lie end to end, as SUFFIX entries."""
     if len(data) < LENGTH:
-        return np.zeros(0, SUFFIX), np.zeros(0, np.int64)
+        return np.zeros(0, SUFFIX)
     sums = running(BYTE_CODES[data])
     place = np.arange(len(data) - ANCHOR + 1)
     hashes = span_hashes(sums, place, place + ANCHOR)
@@ -70,7 +70,7 @@ def suffixes(data: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np
     n = np.diff(bounds)
     owner = np.repeat(np.arange(len(n)), np.maximum(n - LENGTH + 1, 0))
     if not len(owner):
-        return np.zeros(0, SUFFIX), np.zeros(0, np.int64)
+        return np.zeros(0, SUFFIX)
     first = np.cumsum(np.maximum(n - LENGTH + 1, 0)) - np.maximum(n - LENGTH + 1, 0)
     window = np.arange(len(owner)) - first[owner] + bounds[owner]
     anchor = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -81,7 +81,7 @@ def suffixes(data: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np
     out["key"], out["row"], out["start"] = hashes[anchor], rows[doc], start - bounds[doc]
     out["lead"], out["more"] = anchor - start, window[last] - start
     out["context"] = mix(span_hashes(sums, start, window[last] + LENGTH) ^ mix((anchor - start).astype(np.uint64) + np.uint64(7)))
-    return out, doc
+    return out
 
 
 def joined(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,21 +183,30 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
 def suffix_table(docs: DataFrame, parts: int) -> DataFrame:
     """Packed suffixes by range of hashes (kind 0), and spans settled within a batch (kind 1), of docs (row, raw)."""
 
+    def settled(found: np.ndarray) -> pa.RecordBatch:
+        _, first, code, count = np.unique(found["context"], return_index=True, return_inverse=True, return_counts=True)
+        again = count[code] > 1
+        found["settled"] = again
+        sent = ~again
+        sent[first] = True
+        twice = found[again]
+        a, b, row = joined(twice["start"], twice["start"] + twice["more"] + LENGTH, twice["row"])
+        names, blobs = _packed(_part(found["key"][sent], parts), found[sent])
+        said, more = _packed(_part(mix(row.view(np.uint64)), parts), np.column_stack([row, a, b]))
+        kind = np.append(np.zeros(len(blobs), np.int32), np.ones(len(more), np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(np.append(names, said)), pa.array(kind), pa.array(blobs + more, pa.binary())], names=["part", "kind", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "raw", BATCH_BYTES):
+        held, n = [], 0
+        for batch in pieces(batches, "raw"):
             data, bounds = flat(batch.column("raw"))
-            found, doc = suffixes(data, bounds, batch.column("row").to_numpy())
-            _, first, code, count = np.unique(found["context"], return_index=True, return_inverse=True, return_counts=True)
-            again = count[code] > 1
-            found["settled"] = again
-            sent = ~again
-            sent[first] = True
-            a, b, d = joined(found["start"][again], found["start"][again] + found["more"][again] + LENGTH, doc[again])
-            spans = np.column_stack([batch.column("row").to_numpy()[d], a, b])
-            names, blobs = _packed(_part(found["key"][sent], parts), found[sent])
-            said, more = _packed(_part(mix(spans[:, 0].view(np.uint64)), parts), spans)
-            kind = np.append(np.zeros(len(blobs), np.int32), np.ones(len(more), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(names, said)), pa.array(kind), pa.array(blobs + more, pa.binary())], names=["part", "kind", "blob"])
+            held.append(suffixes(data, bounds, batch.column("row").to_numpy()))
+            n += len(held[-1])
+            if n >= BATCH_SUFFIXES:
+                yield settled(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield settled(np.concatenate(held))
 
     return docs.mapInArrow(run, "part long, kind int, blob binary")
 
@@ -267,7 +276,7 @@ def context_table(wanted: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     rows = docs.join(lists, docs["row"] == lists["in_row"]).select("row", "raw", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "raw", BATCH_BYTES):
+        for batch in pieces(batches, "raw"):
             data, bounds = flat(batch.column("raw"))
             _, once = np.unique(batch.column("row").to_numpy(), return_index=True)
             lists = batch.column("list")
