@@ -8,6 +8,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Exchange names and their MIC.
 US_MICS = {
@@ -108,7 +109,7 @@ def us_instrument_id(first_symbol: Column, first_day: Column) -> Column:
     return F.concat(F.lit("ins_us_"), F.substring(F.sha2(F.concat(canonical_symbol(first_symbol), first_day.cast("string")), 256), 1, 16))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def instrument_id(region: pd.Series, key: pd.Series) -> pd.Series:
     """ins_ and 26 characters of the lower-case base32 SHA-256 of region|key; Spark has no base32."""
     token = lambda r, k: base64.b32encode(hashlib.sha256(f"{r}|{k}".encode()).digest()).decode().lower()[:26]

@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Query keys that only track.
 TRACKING = ["fbclid", "gclid", "ref", "spm"]
@@ -49,7 +50,7 @@ def simple_title(title: Column) -> Column:
     return F.trim(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def full_title(titles: pd.Series) -> pd.Series:
     """As simple_title, over compatibility forms and with full case folding, which Spark lacks.
 
@@ -113,7 +114,7 @@ def _walk(value: object, visit) -> None:
 def redacted(payload: Column, secret_keys: tuple[str, ...] = ("token", "secret", "password", "api_key", "authorization")) -> Column:
     """A JSON payload with the values of secret keys replaced, at any depth."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
         def clean(v: object) -> object:
             if isinstance(v, dict):
@@ -128,7 +129,7 @@ def redacted(payload: Column, secret_keys: tuple[str, ...] = ("token", "secret",
 def nested_values(payload: Column, keys: tuple[str, ...] = ("fact_ids", "source_ref_ids")) -> Column:
     """Sorted distinct texts under the given keys of a JSON payload, at any depth."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> list[str]:
             found: set[str] = set()
@@ -143,7 +144,7 @@ def nested_values(payload: Column, keys: tuple[str, ...] = ("fact_ids", "source_
 def forbidden_keys(payload: Column, keys: tuple[str, ...]) -> Column:
     """Sorted keys of a JSON payload, at any depth, that are among the forbidden."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> list[str]:
             found: set[str] = set()

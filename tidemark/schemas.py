@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-MONEY = T.DecimalType(38, 18)
 SOURCE = "source struct<provider_id:string,provider_record_id:string,source_url:string,retrieved_at:timestamp,provider_updated_at:timestamp,source_checksum:string>"
 RIGHTS = "rights struct<store:boolean,display:boolean,redistribute:boolean,derive:boolean,train:boolean,content_expires_at:timestamp>"
 
 
-def _ddl(*parts: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(parts))
+def _ddl(*parts: str) -> str:
+    return ", ".join(parts)
 
 
-SCHEMAS: dict[str, T.StructType] = {
+SCHEMAS: dict[str, str] = {
     "instruments": _ddl("instrument_id string, region string, venue_mic string, local_symbol string, canonical_symbol string, name string, asset_class string, currency string, timezone string, status string, valid_from date, valid_to date, updated_at timestamp", SOURCE),
     "aliases": _ddl("instrument_id string, provider_id string, source_symbol string, venue_mic string, canonical_symbol string, valid_from date, valid_to date"),
     "bars": _ddl("bar_id string, instrument_id string, region string, interval string, adjustment string, bar_start timestamp, bar_end timestamp, trading_date date, open decimal(38,18), high decimal(38,18), low decimal(38,18), close decimal(38,18), volume decimal(38,18), turnover decimal(38,18), currency string, adjustment_as_of timestamp, available_at timestamp, availability_basis string, quality_flags array<string>, source_checksum string", SOURCE),
