@@ -105,7 +105,7 @@ def fit_filters(docs: DataFrame, lang: str = "lang", text: str = "text", min_sha
             yield rows(name, got, n)
 
     def rows(name: str, got: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(got)), pa.array(got.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(got), pa.string()), pa.array(got.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
