@@ -38,6 +38,10 @@ def test_shards_follow_the_published_function(spark):
         assert list(r.s) == [jump(r.k, n) for n in (1, 7, 40, 41)]
 
 
+def test_shards_agree_with_sql(spark, agrees):
+    agrees(sharding.op9_jump_shards(spark, DATA), sharding.SQL)
+
+
 def test_shard_table(frame, odd, none, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK_KEYS", 64)
     texts = [None if i % 7 == 0 else f"é{i}" for i in range(1000)]

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import jaccard, langid, media, mixing, pieces, pii, quality, suffixes, toxicity
-from tidemark.llm.sharding import op9_jump_shards
+from tidemark.llm import jaccard, langid, media, mixing, pieces, pii, quality, sharding, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_family": suffixes.op1_suffix_family,
@@ -18,11 +17,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_filters": langid.op6_language_filters,
     "op7_toxicity_chain": toxicity.op7_toxicity_chain,
     "op8_media_columns": media.op8_media_columns,
-    "op9_jump_shards": op9_jump_shards,
+    "op9_jump_shards": sharding.op9_jump_shards,
     "op10_feistel_pseudonyms": pii.op10_feistel_pseudonyms,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_raked_mixture": mixing.SQL,
     "op5_quality_rules": quality.SQL,
+    "op9_jump_shards": sharding.SQL,
 }

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, written
+from tidemark.llm.sql import CRC_TABLE, crc32
 
 #: Fixed value: multiplier of the paper's generator, as 16-bit limbs from the lowest.
 MULTIPLIER = 2862933555777941757
@@ -98,3 +99,19 @@ def shard_table(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: st
 
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(documents(spark, sf_dir), shards=40)
+
+
+SQL = f"""WITH RECURSIVE {CRC_TABLE},
+walk AS (
+  SELECT doc_id, CAST(coalesce(doc_id, 0) AS HUGEINT) + CASE WHEN doc_id < 0 THEN 18446744073709551616 ELSE 0 END AS k, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS s0, CAST(0 AS BIGINT) AS s1
+  FROM (SELECT DISTINCT doc_id FROM documents)
+  UNION ALL
+  SELECT doc_id, k, at, CASE WHEN at < 40 THEN at ELSE s0 END, CASE WHEN at < 41 THEN at ELSE s1 END FROM (
+    SELECT doc_id, k, CAST(floor((at + 1) * (2147483648.0::DOUBLE / CAST(k // 8589934592 + 1 AS DOUBLE))) AS BIGINT) AS at, s0, s1 FROM (
+      SELECT doc_id, (k * {MULTIPLIER} + 1) % 18446744073709551616 AS k, at, s0, s1 FROM walk WHERE at < 41))),
+landed AS (SELECT doc_id, max(s0) AS s0, max(s1) AS s1 FROM walk GROUP BY doc_id),
+placed AS (
+  SELECT d.doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 16 AS BIGINT) AS size, CAST(coalesce({crc32("text")}, 0) AS BIGINT) AS text_crc32, s0, s1
+  FROM crc_table, documents d JOIN landed l ON l.doc_id IS NOT DISTINCT FROM d.doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(s0 AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY s0 ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(s1 AS INTEGER) AS grown_shard FROM placed"""
