@@ -103,12 +103,12 @@ def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""WITH RECURSIVE {CRC_TABLE},
 walk AS (
-  SELECT doc_id, CAST(coalesce(doc_id, 0) AS HUGEINT) + CASE WHEN doc_id < 0 THEN 18446744073709551616 ELSE 0 END AS k, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS s0, CAST(0 AS BIGINT) AS s1
+  SELECT doc_id, CAST(coalesce(doc_id, 0) AS HUGEINT) + CASE WHEN doc_id < 0 THEN 18446744073709551616 ELSE 0 END AS k, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS s0, CAST(0 AS BIGINT) AS s1
   FROM (SELECT DISTINCT doc_id FROM documents)
   UNION ALL
-  SELECT doc_id, k, at, CASE WHEN at < 40 THEN at ELSE s0 END, CASE WHEN at < 41 THEN at ELSE s1 END FROM (
-    SELECT doc_id, k, CAST(floor((at + 1) * (2147483648.0::DOUBLE / CAST(k // 8589934592 + 1 AS DOUBLE))) AS BIGINT) AS at, s0, s1 FROM (
-      SELECT doc_id, (k * {MULTIPLIER} + 1) % 18446744073709551616 AS k, at, s0, s1 FROM walk WHERE at < 41))),
+  SELECT doc_id, k, pos, CASE WHEN pos < 40 THEN pos ELSE s0 END, CASE WHEN pos < 41 THEN pos ELSE s1 END FROM (
+    SELECT doc_id, k, CAST(floor((pos + 1) * (2147483648.0::DOUBLE / CAST(k // 8589934592 + 1 AS DOUBLE))) AS BIGINT) AS pos, s0, s1 FROM (
+      SELECT doc_id, (k * {MULTIPLIER} + 1) % 18446744073709551616 AS k, pos, s0, s1 FROM walk WHERE pos < 41))),
 landed AS (SELECT doc_id, max(s0) AS s0, max(s1) AS s1 FROM walk GROUP BY doc_id),
 placed AS (
   SELECT d.doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 16 AS BIGINT) AS size, CAST(coalesce({crc32("text")}, 0) AS BIGINT) AS text_crc32, s0, s1
