@@ -46,3 +46,23 @@ def plain_words(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text, as an array; null gives an empty array."""
     even = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
     return F.array_remove(F.split(even, " "), "")
+
+
+#: Bits of a sieve; it is a table of at most SIEVE_BITS / 64 rows of two numbers, 8 MB.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose long key may be in the one column of `wanted`, and rows whose key is not, before a join by key.
+
+    A bit table of fixed size goes to all executors, so that most rows that a join would drop are not
+    shuffled. If more keys are wanted than the table can tell apart, more rows pass; none is lost.
+    """
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(SIEVE_BITS).cast("long"))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {SIEVE_BITS}L) & 63 as int))")
+    held = wanted.toDF(key).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = written(held, "sieve")
+    met = rows.withColumns({"_at": word, "_bit": bit})
+    met = met.join(F.broadcast(held), met["_at"] == held["_word"], "left")
+    may = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return met.where(may).select(*rows.columns), met.where(~may).select(*rows.columns)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import BYTE_CODES, flat, mix, pieces, running, span_hashes
-from tidemark.llm.common import documents, text_bytes, written
+from tidemark.llm.common import documents, sieve, text_bytes, written
 
 LENGTH, ANCHOR = 200, 40
 PLACES = LENGTH - ANCHOR + 1
@@ -43,6 +43,8 @@ PLACES = LENGTH - ANCHOR + 1
 TASK_BYTES, PARTS_PER_TASK = 24_000_000, 8
 #: Suffixes of one batch of documents, about.
 BATCH_SUFFIXES = 200_000
+#: Bytes of contexts whose windows are compared at once.
+STEP_BYTES = 300_000
 SUFFIX = np.dtype([("key", "u8"), ("context", "u8"), ("row", "i8"), ("start", "i8"), ("lead", "u1"), ("more", "u1"), ("settled", "u1"), ("pad", "u1", 5)])
 
 
@@ -270,15 +272,15 @@ WINDOW = np.dtype([("key", "u8"), ("window", "u8"), ("row", "i8"), ("start", "i8
 
 
 def context_table(wanted: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
-    """Packed contexts by range of hashes: (key, row, start, partial) and their bytes, of wanted contexts."""
+    """Packed contexts by range of hashes: (key, row, start, size, partial) and their bytes, of wanted contexts."""
     lists = wanted.groupBy(F.col("row").alias("in_row")).agg(F.collect_list(F.struct("start", "stop", "key", "partial")).alias("list"))
-    # equal rows have the same number; one of them is enough
-    rows = docs.join(lists, docs["row"] == lists["in_row"]).select("row", "raw", "list")
+    likely, _ = sieve(docs, "row", wanted.select("row"))
+    rows = likely.join(lists, likely["row"] == lists["in_row"]).select("row", "raw", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "raw"):
             data, bounds = flat(batch.column("raw"))
-            _, once = np.unique(batch.column("row").to_numpy(), return_index=True)
+            _, once = np.unique(batch.column("row").to_numpy(), return_index=True)  # of equal rows one is enough
             lists = batch.column("list")
             flatly = lists.flatten()
             doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
@@ -294,22 +296,24 @@ def context_table(wanted: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
             cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
             blobs = []
             for a, b in zip(cut.tolist(), np.append(cut[1:], len(part)).tolist(), strict=True):
-                texts = b"".join(data[x : x + n].tobytes() for x, n in zip(begin[a:b].tolist(), size[a:b].tolist(), strict=True))
-                blobs.append(np.int64(b - a).tobytes() + head[a:b].tobytes() + texts)
+                blobs.append(np.int64(b - a).tobytes() + head[a:b].tobytes() + spread(data, begin[a:b], size[a:b]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(np.zeros(len(cut), np.int32)), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
     return rows.mapInArrow(run, "part long, kind int, blob binary")
 
 
-def windows(blob: bytes) -> np.ndarray:
-    """All windows of packed contexts, as WINDOW entries."""
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    head = np.frombuffer(blob, np.int64, 5 * n, 8).reshape(n, 5)
-    data = np.frombuffer(blob, np.uint8, offset=8 + 40 * n)
+def spread(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all spans, end to end."""
+    first = np.cumsum(size) - size
+    return data[np.repeat(begin - first, size) + np.arange(int(size.sum()))]
+
+
+def windows(head: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """All windows of contexts whose bytes lie end to end, as WINDOW entries."""
     size = head[:, 3]
     count = size - LENGTH + 1
     begin = np.cumsum(size) - size
-    of = np.repeat(np.arange(n), count)
+    of = np.repeat(np.arange(len(head)), count)
     offset = np.arange(len(of)) - (np.cumsum(count) - count)[of]
     out = np.zeros(len(of), WINDOW)
     place = begin[of] + offset
@@ -319,18 +323,47 @@ def windows(blob: bytes) -> np.ndarray:
     return out
 
 
+def _steps(cost: np.ndarray, key: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring entries that cost about `most` and don't divide a key."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    total = np.cumsum(cost)
+    ends = np.append(first[1:], len(key))
+    a = 0
+    while a < len(key):
+        done = total[a - 1] if a else 0
+        fits = np.searchsorted(total[ends - 1], done + most, side="right")
+        b = int(ends[fits - 1]) if fits and ends[fits - 1] > a else int(ends[np.searchsorted(ends, a, side="right")])
+        yield a, b
+        a = b
+
+
 def match_windows(table: DataFrame, tasks: int) -> DataFrame:
-    """Spans of windows of partly matched contexts that are found elsewhere."""
+    """Spans of windows of partly matched contexts that are found elsewhere.
+
+    The keys of a part are handled some at a time; a key with many contexts is gone through several
+    times, each time for one slice of the windows' hashes, so memory is bounded in any case.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_part(batches):
-            family = Family(("key", "window"))
-            for _, blob in blobs:
-                family.add(windows(blob))
-            entries, (_, twin) = family.all()
-            hit = entries[twin & (entries["partial"] == 1)]
-            a, b, row = joined(hit["start"], hit["start"] + LENGTH, hit["row"])
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(a), pa.array(b)], names=["row", "start", "stop"])
+            counts = [int(np.frombuffer(b, np.int64, 1)[0]) for _, b in blobs]
+            head = np.concatenate([np.frombuffer(b, np.int64, 5 * n, 8).reshape(n, 5) for n, (_, b) in zip(counts, blobs, strict=True)])
+            data = np.concatenate([np.frombuffer(b, np.uint8, offset=8 + 40 * n) for n, (_, b) in zip(counts, blobs, strict=True)])
+            begin = np.cumsum(head[:, 3]) - head[:, 3]
+            order = np.argsort(head[:, 0], kind="stable")
+            head, begin = head[order], begin[order]
+            for a, b in _steps(head[:, 3], head[:, 0], STEP_BYTES):
+                slices = -(-int(head[a:b, 3].sum()) // (8 * STEP_BYTES))
+                inner = list(range(a, b, max(1, (b - a) // max(1, 4 * slices)))) + [b]
+                for k in range(slices):
+                    family = Family(("key", "window"))
+                    for x, y in zip(inner[:-1], inner[1:], strict=True):
+                        found = windows(head[x:y], spread(data, begin[x:y], head[x:y, 3]))
+                        family.add(found if slices == 1 else found[found["window"] % np.uint64(slices) == k])
+                    entries, (_, twin) = family.all()
+                    hit = entries[twin & (entries["partial"] == 1)]
+                    lo, hi, row = joined(hit["start"], hit["start"] + LENGTH, hit["row"])
+                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(lo), pa.array(hi)], names=["row", "start", "stop"])
 
     dealt = table.repartition(tasks, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, "row long, start long, stop long")
@@ -353,8 +386,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = rows.withColumn("row", F.xxhash64("doc_id", "raw"))
     n_bytes = docs.select(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     spans = repeated_spans(rows.where(F.length("raw") >= LENGTH).select("row", "raw"), n_bytes)
+    spans = written(spans, "spans")
     lists = spans.groupBy(F.col("row").alias("in_row")).agg(F.collect_list(F.struct("start", "stop")).alias("list"))
-    met = rows.join(lists, rows["row"] == lists["in_row"], "left").select("doc_id", "raw", "list")
+    likely, clean = sieve(rows, "row", spans.select("row"))
+    met = likely.join(lists, likely["row"] == lists["in_row"], "left").select("doc_id", "raw", "list")
+    met = met.unionAll(clean.select("doc_id", "raw", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>")))
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
