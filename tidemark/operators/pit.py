@@ -99,3 +99,16 @@ def source_status(df: DataFrame, by: list[str], cutoff: Column, max_age_hours: i
     rows = df.groupBy(*by).agg(F.max(available).alias("_last"), F.min(available).alias("_first"), F.bool_or(F.col(revised)).alias("_revised"))
     status = F.when(F.col("_last") > cutoff, "late").when(seconds(cutoff) - seconds(F.col("_first")) > age, "stale").when(F.col("_revised"), "revised").otherwise("available")
     return rows.select(*by, status.alias("status"))
+
+
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, ids: list[str], value: str) -> DataFrame:
+    """left with the last `value` of right (keys, at, value) at or before its moment; an extension.
+
+    Both sides go through one sort by key and time, so the work doesn't grow with the matches. Of
+    equal moments the greatest value counts. ids must tell the left rows apart.
+    """
+    marked = right.groupBy(*keys, at).agg(F.max(value).alias(value)).select(*keys, at, F.lit(0).alias("_side"), value, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in ids])
+    asked = left.select(*keys, at, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias(value), *ids)
+    by = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    filled = marked.unionByName(asked).withColumn(value, F.last(value, ignorenulls=True).over(by))
+    return filled.where("_side = 1").select(*keys, at, *ids, value)

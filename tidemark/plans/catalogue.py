@@ -494,3 +494,109 @@ def q_schedule_check(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("release_id"), at.alias("scheduled_at"), F.when(F.col("o_orderkey") % 2 == 1, F.to_date(at)).alias("scheduled_date"))
     found = rows.withColumn("issues", quality.issue_list(quality.release_tests()))
     return found.select("release_id", F.coalesce(F.get("issues", F.lit(0)), F.lit("ok")).alias("issue"))
+
+
+# provider-side variants and remaining scalars
+
+
+@query(f"""SELECT observation_id, series_id, period_end, available_at, value_cents FROM ({OBSERVED}) WHERE available_at <= least(TIMESTAMP '{SEEN}', TIMESTAMP '2024-01-12 06:00:00') AND available_at >= TIMESTAMP '2024-01-03'""")
+def q_two_clocks(spark, d):
+    rows = observations(spark, d).where(F.col("available_at") <= F.least(moment(SEEN), moment("2024-01-12 06:00:00")))
+    return rows.where(F.col("available_at") >= moment("2024-01-03 00:00:00")).select(*OBSERVATION)
+
+
+@query(f"""WITH {COPIES} SELECT doc_id AS news_id FROM copies WHERE replaces IS NULL""")
+def q_originals_only(spark, d):
+    return news(spark, d).where("supersedes_news_id IS NULL").select("news_id")
+
+
+@query("""SELECT doc_id AS news_id, doc_id % 3 >= 1 AS satisfied FROM documents""")
+def q_content_satisfies(spark, d):
+    mode = F.when(F.col("doc_id") % 3 == 0, "headline").when(F.col("doc_id") % 3 == 1, "snippet").otherwise("full_text")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("news_id"), reads.satisfies_mode(mode, "snippet").alias("satisfied"))
+
+
+@query(r"""SELECT o_orderkey, CAST(o_orderdate AS DATE) + 1 > DATE '1997-02-01' AND CAST(o_orderdate AS DATE) < DATE '1997-02-03' AS overlaps FROM orders""")
+def q_day_overlaps_window(spark, d):
+    start, end = F.lit("1997-02-01 12:00:00").cast("timestamp"), F.lit("1997-02-02 12:00:00").cast("timestamp")
+    return table(spark, d, "orders").select("o_orderkey", dates.day_overlaps(F.to_date("o_orderdate"), start, end).alias("overlaps"))
+
+
+@query("""SELECT DISTINCT strftime(o_orderdate, '%Y%m') AS period, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS first_day, strftime(last_day(o_orderdate), '%Y-%m-%d') AS last_day FROM orders""")
+def q_period_bounds(spark, d):
+    rows = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyyMM").alias("period")).distinct()
+    first, last = dates.month_bounds(F.col("period"))
+    return rows.select("period", first.cast("string").alias("first_day"), last.cast("string").alias("last_day"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || 'Z' AS iso FROM events""")
+def q_iso_text(spark, d):
+    return table(spark, d, "events").select("event_id", dates.iso_instant(F.col("ts")).alias("iso"))
+
+
+@query("""SELECT c_custkey, CAST(strftime(make_date(1899, 12, 30) + CAST(40000 + c_custkey AS INTEGER), '%Y-%m-%d') AS VARCHAR) AS day FROM customer""")
+def q_excel_day(spark, d):
+    return table(spark, d, "customer").select("c_custkey", dates.excel_day(F.col("c_custkey") + 40000).cast("string").alias("day"))
+
+
+@query("""SELECT p_partkey, CASE WHEN cents % 100 = 0 THEN CAST(cents // 100 AS VARCHAR) WHEN cents % 10 = 0 THEN CAST(cents // 100 AS VARCHAR) || '.' || CAST((cents % 100) // 10 AS VARCHAR)
+  ELSE CAST(cents // 100 AS VARCHAR) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') END AS said FROM (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part)""")
+def q_plain_decimal(spark, d):
+    return table(spark, d, "part").select("p_partkey", numbers.plain_text((cents("p_retailprice") / F.lit(100).cast("decimal(10,0)")).cast("decimal(20,4)")).alias("said"))
+
+
+@query("""SELECT page_id, starts_with(url, 'https://') AND regexp_matches(lower(url), '^https://[^/?#@]*example\\.(com|org)([:/?#]|$)') AND NOT regexp_matches(url, '^https://[^/?#]*@') AND NOT regexp_matches(lower(url), '^https://[^/?#]+\\.[^/?#]*example') AS allowed FROM pages""")
+def q_allowed_url(spark, d):
+    return table(spark, d, "pages").select("page_id", text.allowed_url(F.col("url"), ["example.com", "example.org"]).alias("allowed"))
+
+
+@query("""SELECT conv_id, count(*) AS turns, max(turn) - min(turn) + 1 = count(DISTINCT turn) AS gapless, arg_max(role, turn) AS last_role FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY ALL) GROUP BY conv_id""")
+def q_ordered_turns(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), (F.max("turn") - F.min("turn") + 1 == F.count_distinct("turn")).alias("gapless"), F.max_by("role", "turn").alias("last_role"))
+
+
+@query("""SELECT doc_id, md5(text) IN (SELECT md5(text) FROM documents WHERE source = 'src1') AND source <> 'src1' AS seen_before FROM documents""")
+def q_repeated_on_other_page(spark, d):
+    docs = table(spark, d, "documents")
+    earlier = docs.where("source = 'src1'").select(F.sha2("text", 256).alias("h")).distinct().withColumn("hit", F.lit(True))
+    met = docs.withColumn("h", F.sha2("text", 256)).join(earlier, "h", "left")
+    return met.select("doc_id", (F.coalesce("hit", F.lit(False)) & (F.col("source") != "src1")).alias("seen_before"))
+
+
+@query(f"""WITH base AS (SELECT user_id AS instrument_id, event_id AS bar_id, ts AS bar_end, CAST(round(value * 100) AS BIGINT) AS close FROM events WHERE ts <= TIMESTAMP '{SEEN}')
+SELECT instrument_id, close AS last_cents, before AS previous_cents, close - before AS change_cents FROM (SELECT *, coalesce(lag(close) OVER w, 0) AS before, row_number() OVER (PARTITION BY instrument_id ORDER BY bar_end DESC, bar_id DESC) AS r FROM base WINDOW w AS (PARTITION BY instrument_id ORDER BY bar_end, bar_id)) WHERE r = 1""")
+def q_snapshot_change(spark, d):
+    bars = table(spark, d, "events").select(
+        F.col("user_id").alias("instrument_id"), F.col("event_id").alias("bar_id"), F.col("ts").alias("bar_end"), F.col("ts").alias("available_at"), cents("value").alias("close"),
+        *[F.lit(v).alias(c) for c, v in (("region", "US"), ("interval", "1d"), ("adjustment", "raw"), ("source_checksum", "c"))], F.col("ts").alias("bar_start"), F.to_date("ts").alias("trading_date"))
+    found = reads.snapshots_with_change(bars, bars.limit(0), None, moment(SEEN))
+    return found.select("instrument_id", F.col("last").alias("last_cents"), F.coalesce("previous_close", F.lit(0)).alias("previous_cents"), (F.col("last") - F.coalesce("previous_close", F.lit(0))).alias("change_cents"))
+
+
+@query("""SELECT r_name AS region, r_regionkey % 2 = 0 OR r_regionkey = 1 AS offered FROM region WHERE r_regionkey % 2 = 0 OR r_regionkey = 1""")
+def q_capabilities(spark, d):
+    names = table(spark, d, "region").select("r_name", F.when(F.col("r_regionkey") % 2 == 0, F.array(F.lit("CN"), F.lit("HK"))).when(F.col("r_regionkey") == 1, F.array(F.lit("US"))).otherwise(F.array(F.lit("JP"))).alias("regions"))
+    return reads.capabilities(names, ["CN", "US"]).select(F.col("r_name").alias("region"), F.lit(True).alias("offered"))
+
+
+@query("""SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS items FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' GROUP BY o_custkey""")
+def q_display_lines(spark, d):
+    rows = table(spark, d, "orders").where(F.col("o_orderdate") < moment("1995-06-01 00:00:00"))
+    items = rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("items"))
+    return items.select("o_custkey", F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["o_orderkey"].cast("string"), i["o_orderstatus"])), ",").alias("items"))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL""")
+def q_hourly_windows(spark, d):
+    rows = table(spark, d, "events").withColumn("cents", cents("value"))
+    found = rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    return found.select(F.col("window.start").alias("hour"), "event_type", "n", "cents")
+
+
+@query("""SELECT e.event_id, max_by(o.o_orderkey, (o.o_orderdate, o.o_orderkey)) AS last_order FROM events e JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= CAST(e.ts AS DATE) - 9000 + CAST(e.user_id AS INTEGER) * 10 GROUP BY e.event_id""")
+def q_as_of_join(spark, d):
+    left = table(spark, d, "events").select("event_id", "user_id", F.expr("cast(date_add(to_date(ts), cast(user_id * 10 - 9000 as int)) as timestamp_ntz)").alias("at"))
+    right = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("value"))
+    found = pit.as_of_join(left, right, ["user_id"], "at", ["event_id"], "value")
+    return found.where("value IS NOT NULL").select("event_id", F.col("value").alias("last_order"))
