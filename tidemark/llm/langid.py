@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import flat, mix, pieces
-from tidemark.llm.common import documents
+from tidemark.llm.common import documents, written
 
 GRAM = 4
 PLACES = 1 << 20
@@ -77,8 +77,9 @@ class Filters:
         ends = np.flatnonzero(np.append(np.diff(row) > 0, True))
         starts = np.append(0, ends[:-1] + 1)
         total = ends - starts + 1
+        number = mask.dtype.type
         for k in range(len(self.languages)):
-            hits = np.add.reduceat(((mask >> np.uint8(k)) & np.uint8(1)).astype(np.int32) if mask.dtype == np.uint8 else ((mask >> np.uint64(k)) & np.uint64(1)).astype(np.int32), starts)
+            hits = np.add.reduceat(((mask >> number(k)) & number(1)).astype(np.int32), starts)
             found[row[starts], k] = np.clip((hits / total - self.wrong[k]) / (1 - self.wrong[k]), 0, 1)
         return found
 
@@ -109,8 +110,6 @@ def fit_filters(docs: DataFrame, lang: str = "lang", text: str = "text", min_sha
 
     known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from tidemark.llm.common import written
-
     counts = written(counts, "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").limit(65).collect()
     if len(totals) > 64:
