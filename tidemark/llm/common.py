@@ -42,10 +42,15 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.encode(F.col(col), "UTF-8"), F.lit(b"").cast("binary"))
 
 
+def evenly_spaced(text: Column) -> Column:
+    """The text with each white space a blank; null is empty. Other white space than line ends is rare."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike("[\\x09\\x0B-\\x0D]"), F.translate(text, SPACES, " " * len(SPACES))).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
+
+
 def plain_words(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text, as an array; null gives an empty array."""
-    even = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.array_remove(F.split(even, " "), "")
+    return F.array_remove(F.split(evenly_spaced(text), " "), "")
 
 
 #: Bits of a sieve; it is a table of at most SIEVE_BITS / 64 rows of two numbers, 8 MB.

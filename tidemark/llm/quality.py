@@ -19,7 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, documents, plain_words
+from tidemark.llm.common import documents, evenly_spaced, plain_words
+from tidemark.llm.sql import CRC_TABLE, crc32
 
 BUCKETS = 4096
 SMOOTHING = 0.5
@@ -39,11 +40,12 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     Windows are compared by 64-bit hashes. Only texts with some window twice are sorted.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    spaces = SPACES + " "
-    out = docs.withColumn("_w", plain_words(F.col(text))).withColumn("n_words", F.size("_w").cast("long"))
-    out = out.withColumn("word_chars", F.length(F.translate(t, spaces, "")).cast("long"))
-    out = out.withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
-    out = out.withColumn("_l", F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, spaces, "")) > 0))
+    out = docs.withColumn("_e", evenly_spaced(F.col(text)))
+    out = out.withColumn("_w", F.array_remove(F.split("_e", " "), "")).withColumn("n_words", F.size("_w").cast("long"))
+    out = out.withColumn("word_chars", F.length(F.replace(F.col("_e"), F.lit(" "), F.lit(""))).cast("long"))
+    symbols = F.when(t.rlike(f"[{SYMBOLS}]"), F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).otherwise(0)
+    out = out.withColumn("n_symbols", symbols.cast("long"))
+    out = out.withColumn("_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
     out = out.withColumn("_w", F.transform("_w", lambda x: F.xxhash64(x)))
     starts = F.when(F.size("_w") >= WINDOW, F.sequence(F.lit(0), F.size("_w") - WINDOW)).otherwise(F.array().cast("array<int>"))
@@ -57,7 +59,7 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return out.withColumn("base_failed", failed).drop("_w", "_l", "_h", "_s", "_p")
+    return out.withColumn("base_failed", failed).drop("_e", "_w", "_l", "_h", "_s", "_p")
 
 
 def shape_grams(text: Column) -> Column:
@@ -73,8 +75,8 @@ def _paired(words: str) -> Column:
 
 
 def bucket(gram: Column) -> Column:
-    """0 to BUCKETS - 1, from three hexadecimal digits of the n-gram's md5."""
-    return F.conv(F.substring(F.md5(F.encode(gram, "UTF-8")), 1, 3), 16, 10).cast("int")
+    """0 to BUCKETS - 1, from the n-gram's CRC-32."""
+    return F.crc32(gram.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int")
 
 
 def fit_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", trusted_docs: int = TRUSTED_DOCS) -> list[int]:
@@ -167,9 +169,12 @@ based AS (
   LEFT JOIN covered c ON c.rid = b.rid),
 failing AS (
   SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} AS base_failed FROM based),
-grams AS (
-  SELECT rid, doc_id, CAST('0x' || substr(md5(CASE WHEN i = 1 THEN '^' ELSE g[i - 1] END || ' ' || g[i]), 1, 3) AS INT) AS b
+{CRC_TABLE},
+said AS (
+  SELECT rid, doc_id, CASE WHEN i = 1 THEN '^' ELSE g[i - 1] END || ' ' || g[i] AS gram
   FROM (SELECT rid, doc_id, g, unnest(range(1, len(g) + 1)) AS i FROM base0)),
+hashed AS (SELECT gram, {crc32("gram")} & {BUCKETS - 1} AS b FROM (SELECT DISTINCT gram FROM said), crc_table),
+grams AS (SELECT rid, doc_id, b FROM said JOIN hashed USING (gram)),
 trusted AS (
   SELECT DISTINCT doc_id AS tid FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0
   ORDER BY md5(CAST(tid AS VARCHAR)), tid LIMIT {TRUSTED_DOCS}),
