@@ -116,3 +116,22 @@ def test_task_leases(spark):
     _, old = advance(state, "t", "me", 1, ["r1"], 5)
     done, new = advance(state, "t", "you", 2, ["r0", "r1"], 5)
     assert (old, new) == (0, 1) and done.first().accepted == 5 and list(done.first().run_ids) == ["r0", "r1"]
+
+
+def test_late_rows_and_replays_in_a_stream(spark, tmp_path):
+    from tidemark.streaming.windows import windowed, without_repeats
+
+    folder = f"file://{tmp_path}/in"
+    schema = "id int, ts timestamp, v int"
+    batches = [[(1, "2024-01-01 00:01:00", 1), (2, "2024-01-01 00:02:00", 2), (2, "2024-01-01 00:02:00", 2)], [(3, "2024-01-01 01:30:00", 4)], [(4, "2024-01-01 00:03:00", 100)], [(5, "2024-01-01 04:00:00", 8)]]
+    sink, query = f"late_{tmp_path.name}".replace("-", "_"), None
+    for rows in batches:
+        df = spark.createDataFrame(rows, "id int, ts string, v int").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(folder)
+        if query is None:
+            stream = without_repeats(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder), "ts", "10 minutes", ["id"])
+            query = windowed(stream, "ts", "1 hour", [], "v").writeStream.outputMode("append").format("memory").queryName(sink).start()
+        query.processAllAvailable()
+    query.stop()
+    got = {r.start.hour: (r.n, r.total) for r in spark.table(sink).collect()}
+    assert got[0] == (2, 3) and got[1] == (1, 4)

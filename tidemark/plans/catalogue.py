@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, numbers, symbols, text
-from tidemark.operators import context, merge, paging, pit, quality
+from tidemark.operators import context, extensions, merge, paging, pit, quality
 from tidemark.operators import queries as reads
 from tidemark.plans.facts import cents, line_revisions, moment, news, observations, order_bases, table, validity
 
@@ -600,3 +600,36 @@ def q_as_of_join(spark, d):
     right = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("value"))
     found = pit.as_of_join(left, right, ["user_id"], "at", ["event_id"], "value")
     return found.where("value IS NOT NULL").select("event_id", F.col("value").alias("last_order"))
+
+
+# extensions
+
+
+@query(f"""WITH {DAILY} SELECT user_id AS instrument_id, strftime(date_trunc('week', day), '%Y-%m-%d') AS period, first(open ORDER BY day) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY day) AS close, count(*) AS bars FROM days GROUP BY user_id, date_trunc('week', day)""")
+def q_resample_weekly(spark, d):
+    at = F.struct("ts", "event_id")
+    daily = table(spark, d, "events").withColumn("cents", cents("value")).groupBy(F.col("user_id").alias("instrument_id"), F.to_date("ts").alias("day")).agg(
+        F.min_by("cents", at).alias("open"), F.max("cents").alias("high"), F.min("cents").alias("low"), F.max_by("cents", at).alias("close"), F.lit(0).alias("volume"))
+    found = extensions.resample_bars(daily, F.date_format(F.date_trunc("week", "day"), "yyyy-MM-dd"), order=("day",))
+    return found.drop("volume")
+
+
+@query("""SELECT o_custkey, o_orderkey, cents - coalesce(lag(cents) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), cents) AS change_cents FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)""")
+def q_value_changes(spark, d):
+    rows = table(spark, d, "orders").withColumn("cents", cents("o_totalprice"))
+    found = extensions.changes(rows, "o_custkey", ["o_orderdate", "o_orderkey"], "cents")
+    return found.select("o_custkey", "o_orderkey", F.coalesce("change", F.lit(0)).alias("change_cents"))
+
+
+@query(f"""WITH {DAILY}, spans AS (SELECT user_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS d FROM days WHERE user_id < 20 GROUP BY user_id)
+SELECT s.user_id, strftime(s.d, '%Y-%m-%d') AS day, last_value(close IGNORE NULLS) OVER (PARTITION BY s.user_id ORDER BY s.d ROWS UNBOUNDED PRECEDING) AS close, close IS NULL AS filled FROM spans s LEFT JOIN days t ON s.user_id = t.user_id AND CAST(s.d AS DATE) = t.day""")
+def q_fill_gaps(spark, d):
+    rows = table(spark, d, "events").where("user_id < 20").withColumn("cents", cents("value")).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max_by("cents", F.struct("ts", "event_id")).alias("close"))
+    return extensions.fill_gaps(rows, "user_id", "day", "close").withColumn("day", F.col("day").cast("string"))
+
+
+@query("""SELECT o_custkey AS series_id, count(*) AS facts, md5(string_agg(said, '|' ORDER BY said)) AS mark FROM (SELECT o_custkey, o_orderkey || ':' || o_orderstatus AS said FROM orders) GROUP BY o_custkey""")
+def q_series_marks(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("series_id"), F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("said"))
+    found = rows.groupBy("series_id").agg(F.count("*").alias("facts"), F.array_join(F.array_sort(F.collect_list("said")), "|").alias("body"))
+    return found.select("series_id", "facts", F.md5(F.col("body").cast("binary")).alias("mark"))
