@@ -153,3 +153,29 @@ def test_days_and_zones(spark):
     assert dates.retry_after_seconds("30", dt.datetime.now(dt.UTC)) == 30
     with pytest.raises(Exception, match="no US calendar"):
         one(dates.require_us_year(F.lit("2030-01-01").cast("date")))
+
+
+def test_status_of_runs(spark):
+    from tidemark.operators import workflow
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(workflow.combined_status(F.lit(w), F.lit(q))) for w, q in (("locked", "blocked"), ("succeeded", "blocked"), ("retryable", "passed"), ("succeeded", "degraded"), ("succeeded", "passed"))] == ["locked", "blocked", "retryable", "degraded", "succeeded"]
+    runs = lambda *x: F.array(*[F.lit(i) for i in x]).cast("array<string>")
+    cases = [(None, 0, runs("r")), ("succeeded", 2, runs("r")), ("succeeded", 0, runs()), ("succeeded", 0, runs("r")), ("retryable", 0, runs()), ("failed", 0, runs())]
+    assert [one(workflow.task_problem(F.lit(s).cast("string"), F.lit(n), r)) for s, n, r in cases] == ["unavailable", "quarantined", "unavailable", None, "retryable", "unavailable"]
+    policy = spark.createDataFrame([(["market.cn", "news.cn"], ["market.hk", "market.us"])], "required array<string>, optional array<string>")
+    evidence = spark.createDataFrame([("market.cn", "stale", False), ("market.hk", "late", True), ("other", "late", True)], "input_id string, status string, required boolean")
+    got = {r.input_id: (r.status, r.required) for r in workflow.apply_day_policy(evidence, policy).collect()}
+    assert got == {"market.cn": ("stale", True), "market.hk": ("unavailable", False), "market.us": ("unavailable", False), "other": ("late", True)}
+    issues = spark.createDataFrame([("a", "STALE_REQUIRED_INPUT"), ("a", "STALE_REQUIRED_INPUT"), ("b", "REQUIRED_INPUT_UNAVAILABLE"), ("c", "X")], "input_id string, code string")
+    assert {r.bucket: list(r.entries) for r in workflow.issue_buckets(issues).collect()} == {"stale_inputs": ["a:STALE_REQUIRED_INPUT"], "missing_required_inputs": ["b:REQUIRED_INPUT_UNAVAILABLE"], "unavailable_inputs": ["c:X"]}
+    assert [one(workflow.report_status(F.lit(s), F.lit(e), F.lit(w))) for s, e, w in (("complete", 1, 0), ("complete", 0, 1), ("complete", 0, 0), ("incomplete", 0, 0))] == ["incomplete", "degraded", "complete", "incomplete"]
+    assert workflow.retry_delays(4) == [1, 2, 4] and workflow.retry_delays(3, 60) == [30, 30] and workflow.retry_delays(5, left=4) == [1, 2]
+    reported = spark.createDataFrame([("r1", 5), ("r2", None)], "run_id string, reported int")
+    kept = spark.createDataFrame([("r1",), ("r2",), ("r2",)], "run_id string")
+    assert {r.run_id: r.rejections for r in workflow.rejection_counts(reported, kept).collect()} == {"r1": 5, "r2": 2}
+
+
+def test_windows_of_days(spark):
+    row = spark.range(1).select(dates.local_window(F.lit("2024-03-10").cast("date"), "America/New_York", 1, 1).alias("w"), dates.day_range(F.lit("2024-02-28").cast("date"), F.lit("2024-03-01").cast("date")).alias("d"), dates.day_range(F.lit("2024-03-02").cast("date"), F.lit("2024-03-01").cast("date")).alias("e")).first()
+    assert (str(row.w.start), str(row.w.end)) == ("2024-03-09 05:00:00", "2024-03-11 04:00:00") and len(row.d) == 3 and row.e == []

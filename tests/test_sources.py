@@ -135,3 +135,14 @@ def test_late_rows_and_replays_in_a_stream(spark, tmp_path):
     query.stop()
     got = {r.start.hour: (r.n, r.total) for r in spark.table(sink).collect()}
     assert got[0] == (2, 3) and got[1] == (1, 4)
+
+
+def test_schedules_and_links(spark):
+    html = "<p>2026 schedule</p><table><tr><td>January 25 8:30 AM</td><td>GDP</td></tr><tr><td>TBD</td><td>Other</td></tr></table><a href='/a2025.pdf'>2025</a><a href='/b2025.pdf'>2025 again</a><a href='/x'>about</a>"
+    pages = spark.createDataFrame([(1, html)], "id int, html string")
+    got = documents.clock_schedule(documents.html_tables(pages, "id"), F.lit(2026)).collect()
+    assert [(r.title, str(r.scheduled_at)) for r in got] == [("GDP", "2026-01-25 13:30:00")]
+    assert [(r.year, r.href) for r in documents.year_links(documents.html_links(pages, "id")).collect()] == [(2025, "/a2025.pdf")]
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(documents.page_year(F.lit("in 2026 and 2026"))) == 2026 and one(documents.page_year(F.lit("2025, 2026"))) is None
+    assert one(documents.symbol_list(F.lit("a.hk, b.HK,,A.HK "))) == ["A.HK", "B.HK"]

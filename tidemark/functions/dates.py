@@ -146,3 +146,14 @@ def retry_after_seconds(value: str | None, now: dt.datetime) -> int | None:
     except ValueError:
         return None
     return max(0, int((at - now).total_seconds()))
+
+
+def local_window(day: Column, zone: Column | str, before_days: int, after_days: int = 0) -> Column:
+    """Struct of start and end instants: from a day's local midnight less some days to that more some days."""
+    at = lambda n: F.to_utc_timestamp(F.date_add(day, n).cast("timestamp"), zone)
+    return F.struct(at(-before_days).alias("start"), at(after_days).alias("end"))
+
+
+def day_range(first: Column, last: Column) -> Column:
+    """All days from first to last, both included; none if they are the wrong way round."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<date>"))

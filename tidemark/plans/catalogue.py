@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, numbers, symbols, text
-from tidemark.operators import context, extensions, merge, paging, pit, quality
+from tidemark.operators import context, extensions, merge, paging, pit, quality, workflow
 from tidemark.operators import queries as reads
 from tidemark.plans.facts import cents, line_revisions, moment, news, observations, order_bases, table, validity
 
@@ -633,3 +633,44 @@ def q_series_marks(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("series_id"), F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("said"))
     found = rows.groupBy("series_id").agg(F.count("*").alias("facts"), F.array_join(F.array_sort(F.collect_list("said")), "|").alias("body"))
     return found.select("series_id", "facts", F.md5(F.col("body").cast("binary")).alias("mark"))
+
+
+# status of runs
+
+
+@query("""SELECT user_id, CASE max(CASE WHEN required AND status = 'failed' THEN 3 WHEN required AND status = 'retryable' THEN 2 WHEN status <> 'succeeded' THEN 1 ELSE 0 END) WHEN 3 THEN 'blocked' WHEN 2 THEN 'retryable' WHEN 1 THEN 'degraded' ELSE 'succeeded' END AS status
+FROM (SELECT DISTINCT user_id, event_type, event_type IN ('error', 'purchase') AS required, CASE event_type WHEN 'error' THEN CASE WHEN user_id % 4 = 0 THEN 'failed' ELSE 'succeeded' END WHEN 'purchase' THEN CASE WHEN user_id % 3 = 0 THEN 'retryable' ELSE 'succeeded' END WHEN 'view' THEN CASE WHEN user_id % 5 = 0 THEN 'failed' ELSE 'succeeded' END ELSE 'succeeded' END AS status FROM events) GROUP BY user_id""")
+def q_worker_status(spark, d):
+    kind, user = F.col("task_id"), F.col("user_id")
+    rows = table(spark, d, "events").select("user_id", F.col("event_type").alias("task_id")).distinct()
+    status = F.when((kind == "error") & (user % 4 == 0), "failed").when((kind == "purchase") & (user % 3 == 0), "retryable").when((kind == "view") & (user % 5 == 0), "failed").otherwise("succeeded")
+    return workflow.worker_status(rows.withColumn("required", kind.isin("error", "purchase")), rows.withColumn("status", status), ["user_id"])
+
+
+@query("""WITH said AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'task' WHEN 'view' THEN 'snapshot' WHEN 'signup' THEN 'generation' WHEN 'purchase' THEN 'delivery' ELSE 'alert' END AS kind,
+  CASE event_type WHEN 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' ELSE 'pending' END WHEN 'error' THEN CASE event_id % 2 WHEN 0 THEN 'succeeded' ELSE 'failed' END WHEN 'signup' THEN CASE event_id % 2 WHEN 0 THEN 'failed' ELSE 'running' END WHEN 'view' THEN CASE event_id % 2 WHEN 0 THEN 'blocked' ELSE 'passed' END ELSE 'done' END AS status, event_id FROM events WHERE ts < TIMESTAMP '2024-01-01 18:00:00'),
+last AS (SELECT user_id, arg_max(kind || ':' || status, event_id) FILTER (kind IN ('delivery', 'alert')) AS t, arg_max(status, event_id) FILTER (kind = 'generation') AS g, arg_max(status, event_id) FILTER (kind = 'snapshot') AS s FROM said GROUP BY user_id)
+SELECT user_id AS report_date, CASE WHEN t = 'delivery:succeeded' THEN 'delivered' WHEN t = 'alert:succeeded' THEN 'blocked_alerted' WHEN t IN ('delivery:failed', 'alert:failed') THEN 'attention_required' WHEN t = 'delivery:pending' THEN 'awaiting_delivery'
+  WHEN g = 'failed' THEN 'attention_required' WHEN s = 'blocked' THEN 'quality_blocked' WHEN g IS NOT NULL OR s IS NOT NULL THEN 'generating' ELSE 'ingesting' END AS status FROM last""")
+def q_operational_status(spark, d):
+    of, n = F.col("event_type"), F.col("event_id")
+    kind = F.when(of == "click", "task").when(of == "view", "snapshot").when(of == "signup", "generation").when(of == "purchase", "delivery").otherwise("alert")
+    status = (
+        F.when(of == "purchase", F.when(n % 3 == 0, "succeeded").when(n % 3 == 1, "failed").otherwise("pending")).when(of == "error", F.when(n % 2 == 0, "succeeded").otherwise("failed"))
+        .when(of == "signup", F.when(n % 2 == 0, "failed").otherwise("running")).when(of == "view", F.when(n % 2 == 0, "blocked").otherwise("passed")).otherwise("done")
+    )
+    rows = table(spark, d, "events").where(F.col("ts") < moment("2024-01-01 18:00:00")).select(F.col("user_id").alias("report_date"), kind.alias("kind"), status.alias("status"), n.alias("at"))
+    return workflow.operational_status(rows)
+
+
+@query("""WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'), opened AS (
+  SELECT day, isodow(day) < 6 AND extract(day FROM day) <> 1 AS cn, isodow(day) < 6 AND extract(day FROM day) <> 2 AS hk, isodow(day) < 6 AS us FROM days)
+SELECT strftime(day, '%Y-%m-%d') AS day, CASE WHEN isodow(day) >= 6 THEN 'weekend' WHEN NOT (cn AND hk AND us) THEN 'regional_holiday' ELSE 'regular' END AS day_type,
+  array_to_string(list_filter([CASE WHEN NOT cn THEN 'market.cn' END, CASE WHEN NOT hk THEN 'market.hk' END, CASE WHEN NOT us THEN 'market.us' END], lambda x: x IS NOT NULL), ',') AS optional,
+  array_to_string(list_sort(list_concat(['calendar.global', 'news.cn', 'news.us'], list_filter([CASE WHEN cn THEN 'market.cn' END, CASE WHEN hk THEN 'market.hk' END, CASE WHEN us THEN 'market.us' END], lambda x: x IS NOT NULL))), ',') AS required FROM opened""")
+def q_day_policy(spark, d):
+    days = table(spark, d, "orders").where(F.col("o_orderdate") < moment("1996-01-01 00:00:00")).select(F.to_date("o_orderdate").alias("day")).distinct()
+    opened = days.where(dates.weekday_open(F.col("day"))).select("day", F.explode(F.array(*[F.lit(r) for r in ("CN", "HK", "US")])).alias("region"))
+    opened = opened.where(~((F.col("region") == "CN") & (F.dayofmonth("day") == 1)) & ~((F.col("region") == "HK") & (F.dayofmonth("day") == 2)))
+    found = workflow.day_policy(days, opened)
+    return found.select(F.col("day").cast("string").alias("day"), "day_type", F.array_join("optional", ",").alias("optional"), F.array_join("required", ",").alias("required"))

@@ -162,3 +162,30 @@ def sheet_releases(rows: DataFrame, header: list[str]) -> DataFrame:
     if not body.where("title IS NULL OR title = '' OR day IS NULL").isEmpty() or not body.groupBy("title", "day").count().where("count > 1").isEmpty():
         raise ValueError("an incomplete or repeated row")
     return body
+
+
+def clock_schedule(rows: DataFrame, year: Column, zone: str = "America/New_York") -> DataFrame:
+    """Releases of table rows whose first cell is like 'January 25 8:30 AM' and whose second is a title; times are local."""
+    said = F.get("cells", F.lit(0))
+    parts = rows.where(said.rlike(r"^[A-Z][a-z]+ \d{1,2} \d{1,2}:\d{2} [AP]M$")).select(
+        F.get("cells", F.lit(1)).alias("title"), F.to_timestamp(F.concat_ws(" ", year.cast("string"), said), "yyyy MMMM d h:mm a").alias("wall")
+    )
+    return parts.select("title", F.to_utc_timestamp("wall", zone).alias("scheduled_at"))
+
+
+def year_links(links: DataFrame, pattern: str = r"(20\d\d)") -> DataFrame:
+    """year and href of links whose label or address names a year; the first link of a year counts."""
+    year = F.regexp_extract(F.concat_ws(" ", "label", "href"), pattern, 1)
+    named = links.withColumn("year", year.try_cast("int")).where("year IS NOT NULL")
+    return named.groupBy("year").agg(F.min_by("href", "position").alias("href"))
+
+
+def page_year(text: Column) -> Column:
+    """The one year that a page's text names, or null if it names several or none."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(20\d\d)\b"), F.lit(1)))
+    return F.when(F.size(found) == 1, found[0].cast("int"))
+
+
+def symbol_list(text: Column) -> Column:
+    """Distinct symbols of a comma-separated text."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.upper(F.trim(x))), lambda x: x != ""))
