@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed: the white space that separates words, \x20 and \x09 to \x0D.
@@ -53,6 +53,17 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(evenly_spaced(text), " "), "")
 
 
+def part_labels(spark: SparkSession, tasks: int, per_task: int) -> list[int]:
+    """Numbers for parts, such that repartition(tasks, part) gives each task per_task of them.
+
+    Spark deals rows out by a hash; of some numbers those are taken whose hashes fall evenly.
+    """
+    number = spark.range(tasks * per_task * 40 + 1000).select("id", F.pmod(F.hash("id"), F.lit(tasks)).alias("to"))
+    place = F.row_number().over(Window.partitionBy("to").orderBy("id"))
+    taken = number.withColumn("k", place).where(F.col("k") <= per_task).select("id").collect()
+    return sorted(r.id for r in taken)
+
+
 #: Bits of a sieve; it is a table of at most SIEVE_BITS / 64 rows of two numbers, 8 MB.
 SIEVE_BITS = 1 << 25
 

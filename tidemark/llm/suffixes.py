@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import BYTE_CODES, flat, mix, pieces, running, span_hashes
-from tidemark.llm.common import documents, sieve, text_bytes, written
+from tidemark.llm.common import documents, part_labels, sieve, text_bytes, written
 
 LENGTH, ANCHOR = 200, 40
 PLACES = LENGTH - ANCHOR + 1
 #: Bytes of suffixes that a task should hold, and ranges of hashes for each task.
-TASK_BYTES, PARTS_PER_TASK = 24_000_000, 8
+TASK_BYTES, PARTS_PER_TASK = 24_000_000, 2
 #: Suffixes of one batch of documents, about.
 BATCH_SUFFIXES = 200_000
 #: Bytes of contexts whose windows are compared at once.
@@ -178,11 +178,13 @@ def _packed(part: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, list[byt
     return part[cut], [entries[a:b].tobytes() for a, b in zip(cut.tolist(), np.append(cut[1:], len(part)).tolist(), strict=True)]
 
 
-def _part(key: np.ndarray, parts: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _part(key: np.ndarray, labels: list[int]) -> np.ndarray:
+    """Labels of keys, dealt out evenly; keys are mixed anew, since anchors are the least of many hashes."""
+    place = (mix(key + np.uint64(1)) >> np.uint64(32)) * np.uint64(len(labels)) >> np.uint64(32)
+    return np.array(labels, np.int64)[place.astype(np.int64)]
 
 
-def suffix_table(docs: DataFrame, parts: int) -> DataFrame:
+def suffix_table(docs: DataFrame, labels: list[int]) -> DataFrame:
     """Packed suffixes by range of hashes (kind 0), and spans settled within a batch (kind 1), of docs (row, raw)."""
 
     def settled(found: np.ndarray) -> pa.RecordBatch:
@@ -193,8 +195,8 @@ def suffix_table(docs: DataFrame, parts: int) -> DataFrame:
         sent[first] = True
         twice = found[again]
         a, b, row = joined(twice["start"], twice["start"] + twice["more"] + LENGTH, twice["row"])
-        names, blobs = _packed(_part(found["key"][sent], parts), found[sent])
-        said, more = _packed(_part(mix(row.view(np.uint64)), parts), np.column_stack([row, a, b]))
+        names, blobs = _packed(_part(found["key"][sent], labels), found[sent])
+        said, more = _packed(_part(row.view(np.uint64), labels), np.column_stack([row, a, b]))
         kind = np.append(np.zeros(len(blobs), np.int32), np.ones(len(more), np.int32))
         return pa.RecordBatch.from_arrays([pa.array(np.append(names, said)), pa.array(kind), pa.array(blobs + more, pa.binary())], names=["part", "kind", "blob"])
 
@@ -271,7 +273,7 @@ def match_suffixes(table: DataFrame, tasks: int) -> DataFrame:
 WINDOW = np.dtype([("key", "u8"), ("window", "u8"), ("row", "i8"), ("start", "i8"), ("partial", "u1"), ("pad", "u1", 7)])
 
 
-def context_table(wanted: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
+def context_table(wanted: DataFrame, docs: DataFrame, labels: list[int]) -> DataFrame:
     """Packed contexts by range of hashes: (key, row, start, size, partial) and their bytes, of wanted contexts."""
     lists = wanted.groupBy(F.col("row").alias("in_row")).agg(F.collect_list(F.struct("start", "stop", "key", "partial")).alias("list"))
     likely, _ = sieve(docs, "row", wanted.select("row"))
@@ -289,7 +291,7 @@ def context_table(wanted: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
             use = np.isin(doc, once)
             doc, start, stop, key, partial = (x[use] for x in (doc, start, stop, key, partial))
             head = np.column_stack([key, batch.column("row").to_numpy()[doc], start, stop - start, partial])
-            part = _part(key.view(np.uint64), parts)
+            part = _part(key.view(np.uint64), labels)
             order = np.argsort(part, kind="stable")
             begin, size = bounds[doc][order] + start[order], (stop - start)[order]
             head, part = head[order], part[order]
@@ -374,9 +376,9 @@ def repeated_spans(rows: DataFrame, n_bytes: int) -> DataFrame:
     spark = rows.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(least, math.ceil(n_bytes * 0.4 / TASK_BYTES))
-    parts = tasks * PARTS_PER_TASK
-    found = written(match_suffixes(suffix_table(rows, parts), tasks), "suffixes")
-    second = match_windows(context_table(found.where("wanted"), rows, parts), tasks)
+    labels = part_labels(spark, tasks, PARTS_PER_TASK)
+    found = written(match_suffixes(suffix_table(rows, labels), tasks), "suffixes")
+    second = match_windows(context_table(found.where("wanted"), rows, labels), tasks)
     return found.where(~F.col("wanted")).select("row", "start", "stop").unionAll(second)
 
 
