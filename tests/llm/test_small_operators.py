@@ -332,3 +332,23 @@ def test_words_and_folders(spark, odd):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(plain_words(F.col("t"))).collect()
     assert [list(r[0]) for r in got] == [[], [], ["a", "b", "c", "d", "e"], ["é x", "y"]]
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_parts_are_dealt_evenly(spark):
+    from tidemark.llm.common import part_labels
+
+    labels = part_labels(spark, 13, 3)
+    assert len(set(labels)) == 39
+    df = spark.createDataFrame([(x,) for x in labels], "part long").repartition(13, "part").groupBy(F.spark_partition_id()).count()
+    assert [r["count"] for r in df.collect()] == [3] * 13
+
+
+def test_sieve_passes_what_is_wanted(spark):
+    from tidemark.llm.common import sieve
+
+    rows = spark.range(5000).withColumn("text", F.lit("x"))
+    likely, rest = sieve(rows, "id", spark.range(0, 5000, 50))
+    some, other = {r.id for r in likely.collect()}, {r.id for r in rest.collect()}
+    assert set(range(0, 5000, 50)) <= some and some | other == set(range(5000)) and not some & other and len(some) < 120
+    likely, rest = sieve(rows, "id", spark.range(0))
+    assert likely.count() == 0 and rest.count() == 5000

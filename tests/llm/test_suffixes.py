@@ -93,3 +93,7 @@ def test_levels_shrink_geometrically():
     assert len(entries) == len(pairs)
     for e, m, t in zip(entries, met, twin, strict=True):
         assert m == (keys.count(e["key"]) > 1) and t == (pairs.count((e["key"], e["context"])) > 1)
+
+
+def test_query_agrees_with_sql(spark, agrees):
+    agrees(suffixes.op1_suffix_family(spark, "/root/testdata/sf0.001"), suffixes.SQL)

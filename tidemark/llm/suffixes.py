@@ -422,3 +422,19 @@ def op1_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+places AS (SELECT rid, raw, unnest(range(0, octet_length(raw) - {LENGTH - 1})) AS i FROM d WHERE octet_length(raw) >= {LENGTH}),
+wins AS (SELECT rid, i, md5(raw[i + 1 : i + {LENGTH}]) AS m FROM places),
+repeated AS (SELECT m FROM wins GROUP BY m HAVING count(*) > 1),
+hits AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM wins SEMI JOIN repeated USING (m)),
+runs AS (SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM hits),
+spans AS (SELECT rid, min(i) AS a, max(i) + {LENGTH} AS b FROM runs GROUP BY rid, run),
+edges AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS kept_from FROM spans),
+kept AS (
+  SELECT e.rid, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last_b, string_agg(hex(raw[kept_from + 1 : a]), '' ORDER BY a) AS lead
+  FROM edges e JOIN d USING (rid) GROUP BY e.rid)
+SELECT doc_id, CAST(octet_length(raw) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN k.rid IS NULL THEN sha256(raw) ELSE sha256(unhex(lead || CASE WHEN last_b < octet_length(raw) THEN hex(raw[last_b + 1 : octet_length(raw)]) ELSE '' END)) END AS kept_sha256
+FROM d LEFT JOIN kept k USING (rid)"""
