@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_family": suffixes.SQL,
     "op2_raked_mixture": mixing.SQL,
+    "op3_parity_join": jaccard.SQL,
     "op5_quality_rules": quality.SQL,
     "op9_jump_shards": sharding.SQL,
 }
