@@ -4,8 +4,9 @@ Categories are predicted one after the other by linear models over hashed words
 each model also gets the probabilities of the categories before it. In training those are
 out-of-fold predictions, so a later model meets earlier ones as uncertain as they will be.
 
-A document's feature value is the share of its words, up to one in RATE, that fall into the bucket,
-so length alone changes nothing. All categories of a bounded, documented sample of labelled rows are
+A feature's value is the share of a document's words, up to one in RATE, that fall into its bucket, so
+length alone changes nothing; whole words also count as present, once or SEEN times, so a few of them
+show in a long text. All categories of a bounded, documented sample of labelled rows are
 fitted in one task; every whole text is scored.
 
 Defined cases: a null or empty text has no features and gets the models' base rates; null labels
@@ -30,6 +31,7 @@ from tidemark.llm.common import documents
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6, 7, 8)
 RATE = 60
+SEEN = 2
 #: Labelled rows that fit the models: at most so many that are toxic, and as many others, by the md5 of their id.
 SAMPLE_PER_CLASS = 2000
 FEATURES = 192
@@ -50,15 +52,18 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         long = end - begin >= n
         found.append(span_hashes(sums, begin[long], begin[long] + n) ^ np.uint64(n << 50))
         rows.append(row[long])
-    bucket = (np.concatenate(found) >> np.uint64(44)).astype(np.int64)
-    return bucket, np.concatenate(rows), np.bincount(row, minlength=len(texts))
+    half = BUCKETS // 2
+    bucket = (np.concatenate([*found, found[0]]) % np.uint64(half)).astype(np.int64)
+    bucket[len(bucket) - len(row) :] += half  # the upper half is for words as present
+    return bucket, np.concatenate([*rows, row]), np.bincount(row, minlength=len(texts))
 
 
 def values(bucket: np.ndarray, row: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (row, bucket) with their values."""
     pair, count = np.unique(row * BUCKETS + bucket, return_counts=True)
-    row = pair // BUCKETS
-    return pair % BUCKETS, row, np.minimum(1.0, RATE * count / n_words[row])
+    row, bucket = pair // BUCKETS, pair % BUCKETS
+    value = np.where(bucket < BUCKETS // 2, RATE * count / n_words[row], count / SEEN)
+    return bucket, row, np.minimum(1.0, value)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
