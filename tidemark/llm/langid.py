@@ -30,7 +30,7 @@ from tidemark.llm.common import documents, written
 GRAM = 4
 PLACES = 1 << 20
 HASHES = 3
-MIN_SHARE = 2e-6
+MIN_SHARE = 2e-5
 UNKNOWN = "und"
 #: Letters and bytes of other scripts stay, everything else is a space.
 KEPT = np.array([b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)], np.uint8)
