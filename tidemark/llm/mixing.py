@@ -115,7 +115,10 @@ def chance(key: Column, seed: int = SEED) -> Column:
 
 
 def fit_rates(rows: DataFrame, targets: dict | None = None, budget: float = BUDGET, sweeps: int = SWEEPS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """source, lang, topic and rate of each cell of measured rows."""
+    """source, lang, topic and rate of each cell of measured rows.
+
+    At most driver_cells rates go to all executors, so that rows need not be shuffled for them.
+    """
     targets = POWERS | (targets or {})
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     few = cells.orderBy(*DIMENSIONS).limit(driver_cells + 1).collect()
@@ -125,7 +128,7 @@ def fit_rates(rows: DataFrame, targets: dict | None = None, budget: float = BUDG
     listed = [tuple(r) for r in few]
     raked = rake_cells(listed, targets, sweeps, budget) if listed else []
     table = [(*c[:3], float(x / c[3])) for c, x in zip(listed, raked, strict=True)]
-    return rows.sparkSession.createDataFrame(table, "source string, lang string, topic string, rate double")
+    return F.broadcast(rows.sparkSession.createDataFrame(table, "source string, lang string, topic string, rate double"))
 
 
 def mix_sources(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
