@@ -17,7 +17,6 @@ ORACLE_SQL: dict[str, str] = {}
 
 SEEN = "2024-01-15 00:00:00"
 KNOWN = "1999-06-30 00:00:00"
-RATE_HINT = ["USD", "percent", "rate"]
 
 
 def query(sql: str):
