@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -316,6 +317,30 @@ def test_clean_text_stays(clean):
     assert pii.Pseudonyms(b"k").replace(f"x {clean} y") == (f"x {clean} y", [])
 
 
+@pytest.mark.parametrize(("text", "kind", "value"), [
+    ("in 2024 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+    ("BE68 5390 0754 7034 USD 50", "iban", "BE68 5390 0754 7034"),
+    ("BE68539007547034 USD 50", "iban", "BE68539007547034"),
+    ("ES91 2100 0418 4502 0005 1332 BIC", "iban", "ES91 2100 0418 4502 0005 1332"),
+    ("DE88 3704 DE89 3704 0044 0532 0130 00", "iban", "DE89 3704 0044 0532 0130 00"),
+    ("+49 30 1234 5678 2024 2025", "phone", "+49 30 1234 5678"),
+])
+def test_values_inside_a_failed_match_are_found(text, kind, value):
+    one, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    a = text.index(value)
+    out, found = one.replace(text)
+    assert found == [(kind, a, a + len(value))] and value not in out
+    assert out[:a] == text[:a] and out[a + len(value) :] == text[a + len(value) :]
+    assert back.known(kind, out[a : a + len(value)]) == value
+
+
+def test_long_failed_runs_are_scanned_in_linear_time():
+    for run in ("1234 " * 40_000, "AB12 " * 40_000, "+1 " * 60_000, "1." * 100_000, "%" * 200_000, "+1 23 " * 30_000):
+        start = time.perf_counter()
+        pii.Pseudonyms(b"k").replace(run)
+        assert time.perf_counter() - start < 20
+
+
 def test_pii_odd_rows(spark, frame, odd, none):
     rows = odd.unionByName(frame([(50, "mail a.b@c.org and 10.1.2.3"), (51, "10.1.2.3!")]))
     got = {r.doc_id: r for r in pii.pseudonymise(rows, b"k").collect()}

@@ -4,7 +4,9 @@ Numbers, dates and addresses are found by pattern, validated (check digits, rang
 replaced by a keyed permutation within their own format: a Feistel network over the format's
 domain, walked on while it leaves the domain. Equal values get equal pseudonyms in all documents,
 whatever their separators; with the key a pseudonym can be turned back. Values that don't validate
-stay as they are.
+stay as they are; the search then goes on with shorter ends, later kinds and the next start inside.
+A pseudonym beside other numbers or words may be valid together with them by chance, so to turn a
+text back exactly, take the places from `private`.
 
 Defined cases: a null text stays null; an empty or clean text is unchanged; of overlapping finds the
 leftmost counts, then the earlier kind of KINDS; repeated rows give equal rows; an empty table gives
@@ -188,18 +190,33 @@ class Pseudonyms:
     def _one(self, kind: str, found: str) -> str | None:
         return getattr(self, kind)(found)
 
+    def _valid(self, text: str, m: re.Match) -> tuple[str, int, int, str] | None:
+        """Kind, start, end and pseudonym of the first value that begins where m does: kinds in order, longer ends first."""
+        for kind in NAMES[NAMES.index(m.lastgroup) :]:
+            own = m if kind == m.lastgroup else ALONE[kind].match(text, m.start())
+            if own is None:
+                continue
+            a, b = own.span(kind)
+            ends = [b, *(e for e in range(b - 1, a, -1) if text[e] in " .-" and CORES[kind].fullmatch(text, a, e))] if kind in CORES else [b]
+            for e in ends:
+                fresh = self.known(kind, text[a:e])
+                if fresh is not None:
+                    return kind, a, e, fresh
+        return None
+
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and kind, start and end of each value in the text as it was."""
         finds: list[tuple[str, int, int]] = []
-        out, done = [], 0
-        for m in PATTERN.finditer(text):
-            kind = m.lastgroup
-            fresh = self.known(kind, m[kind])
-            if fresh is not None:
-                a, b = m.span(kind)
-                finds.append((kind, a, b))
-                out += [text[done:a], fresh]
-                done = b
+        out, done, at = [], 0, 0
+        while m := PATTERN.search(text, at):
+            found = self._valid(text, m)
+            if found is None:
+                at = m.start() + 1
+                continue
+            kind, a, b, fresh = found
+            finds.append((kind, a, b))
+            out += [text[done:a], fresh]
+            done = at = b
         return ("".join([*out, text[done:]]) if finds else text), finds
 
 
@@ -217,6 +234,10 @@ KINDS = {
 
 
 PATTERN = re.compile("|".join(KINDS.values()))
+NAMES = list(KINDS)
+ALONE = {kind: re.compile(pattern) for kind, pattern in KINDS.items()}
+#: Kinds that may hold words of the text after them, without what must stand around them.
+CORES = {kind: re.compile(re.sub(r"^\(\?<!.*?\]\)|\(\?![^()]*\)$", "", KINDS[kind])) for kind in ("iban", "phone")}
 
 
 def pseudonymise(docs: DataFrame, secret: bytes, text: str = "text", back: bool = False) -> DataFrame:
