@@ -20,3 +20,8 @@ def test_entry_and_registry(spark):
 def test_filters_reach_both_scans(spark):
     plan = catalogue.QUERIES["q_base_revision_as_of"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("LessThanOrEqual(o_orderdate") == 1 and "LessThanOrEqual(l_shipdate" in plan
+
+
+def test_gaps_are_filled_for_all_users(spark):
+    users = {r[0] for r in spark.read.parquet(f"{DATA}/events.parquet").select("user_id").distinct().collect()}
+    assert {r.user_id for r in catalogue.QUERIES["q_fill_gaps_all"](spark, DATA).collect()} == users

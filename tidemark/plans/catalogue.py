@@ -627,6 +627,14 @@ def q_fill_gaps(spark, d):
     return extensions.fill_gaps(rows, "user_id", "day", "close").withColumn("day", F.col("day").cast("string"))
 
 
+@query(f"""WITH {DAILY}, spans AS (SELECT user_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS d FROM days GROUP BY user_id)
+SELECT s.user_id, strftime(s.d, '%Y-%m-%d') AS day, last_value(close IGNORE NULLS) OVER (PARTITION BY s.user_id ORDER BY s.d ROWS UNBOUNDED PRECEDING) AS close, close IS NULL AS filled FROM spans s LEFT JOIN days t ON s.user_id = t.user_id AND CAST(s.d AS DATE) = t.day""")
+def q_fill_gaps_all(spark, d):
+    """As q_fill_gaps, for all users."""
+    rows = table(spark, d, "events").withColumn("cents", cents("value")).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max_by("cents", F.struct("ts", "event_id")).alias("close"))
+    return extensions.fill_gaps(rows, "user_id", "day", "close").withColumn("day", F.col("day").cast("string"))
+
+
 @query("""SELECT o_custkey AS series_id, count(*) AS facts, md5(string_agg(said, '|' ORDER BY said)) AS mark FROM (SELECT o_custkey, o_orderkey || ':' || o_orderstatus AS said FROM orders) GROUP BY o_custkey""")
 def q_series_marks(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("series_id"), F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("said"))
