@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.plans import catalogue
+from tidemark.operators import pit
+from tidemark.plans import catalogue, facts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,3 +27,21 @@ def test_filters_reach_both_scans(spark):
 def test_gaps_are_filled_for_all_users(spark):
     users = {r[0] for r in spark.read.parquet(f"{DATA}/events.parquet").select("user_id").distinct().collect()}
     assert {r.user_id for r in catalogue.QUERIES["q_fill_gaps_all"](spark, DATA).collect()} == users
+
+
+def test_null_ranks_are_of_the_newest_versions(spark):
+    """No fact's newest visible version is left out, and equal ranks without a checksum are settled by one order."""
+    rows = pit.versions(facts.order_bases(spark, DATA), facts.line_revisions(spark, DATA), "fact_id", ["fact_id", "owner_id"], facts.moment(catalogue.KNOWN)).collect()
+    newest = {}
+    for r in rows:
+        order = (r.available_at, r.version_rank, r.value_cents % 2 != 0, r.source_checksum)
+        newest[r.fact_id] = max(newest.get(r.fact_id, (order, r.value_cents)), (order, r.value_cents))
+    got = {r.fact_id: (r.available_at, r.version_rank, r.value_cents) for r in catalogue.QUERIES["q_null_rank_all"](spark, DATA).collect()}
+    assert got == {k: (o[0], o[1], v) for k, (o, v) in newest.items()}
+
+
+def test_equal_ranks_without_a_checksum_are_settled(spark):
+    made = [(1, 5, 1, None, s) for s in ("a", "c", "b")] + [(1, 5, 0, "z", "z"), (1, 4, 1, None, "d")]
+    rows = spark.createDataFrame(made, "fact_id int, available_at int, version_rank int, checksum string, source_checksum string")
+    for again in (rows, rows.orderBy("source_checksum"), rows.orderBy(F.desc("source_checksum"))):
+        assert pit.current_versions(again, "fact_id", checksum="checksum", nulls="first", tie="source_checksum").first().source_checksum == "c"

@@ -29,14 +29,16 @@ def versions(base: DataFrame, revisions: DataFrame, key: str, carried: list[str]
     return known(base).withColumn("version_rank", F.lit(0)).unionByName(later.withColumn("version_rank", F.lit(1)))
 
 
-def current_versions(found: DataFrame, key: str, checksum: str = "source_checksum", nulls: str = "last", runs: tuple[str, ...] = (), run: str = "run_id") -> DataFrame:
-    """The newest version of each key: by available_at, revisions before base, checksum.
+def current_versions(found: DataFrame, key: str, checksum: str = "source_checksum", nulls: str = "last", runs: tuple[str, ...] = (), run: str = "run_id", tie: str | None = None) -> DataFrame:
+    """The newest version of each key: by available_at, revisions before base, checksum, and the greatest of tie.
 
     nulls: whether a missing checksum sorts first or last in descending order. With runs, versions
     that came from one of them outrank newer ones.
     """
     last = F.col(checksum).desc_nulls_first() if nulls == "first" else F.coalesce(F.col(checksum), F.lit("")).desc()
     order = [F.col("available_at").desc_nulls_first(), F.col("version_rank").desc(), last]
+    if tie:
+        order.append(F.col(tie).desc())
     if runs:
         found = found.withColumn("evidence_rank", F.when(F.col(run).isin(*runs), 1).otherwise(0))
         order = [F.col("evidence_rank").desc(), *order]

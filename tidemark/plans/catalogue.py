@@ -101,6 +101,17 @@ def q_null_rank_release(spark, d):
     return pit.current_versions(rows, "fact_id", checksum="checksum", nulls="first").select("fact_id", "owner_id", "available_at", "checksum", "value_cents", "version_rank")
 
 
+@query(f"""WITH {BASES} SELECT fact_id, owner_id, available_at, checksum, value_cents, version_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY available_at DESC NULLS FIRST, version_rank DESC, checksum DESC NULLS FIRST, source_checksum DESC) AS r
+  FROM (SELECT *, CASE WHEN value_cents % 2 = 0 THEN source_checksum END AS checksum FROM versions WHERE available_at <= TIMESTAMP '{KNOWN}')) WHERE r = 1""")
+def q_null_rank_all(spark, d):
+    """As q_null_rank_release, over all versions; of several without a checksum the greatest source_checksum counts."""
+    rows = pit.versions(order_bases(spark, d), line_revisions(spark, d), "fact_id", ["fact_id", "owner_id"], moment(KNOWN))
+    rows = rows.withColumn("checksum", F.when(F.col("value_cents") % 2 == 0, F.col("source_checksum")))
+    found = pit.current_versions(rows, "fact_id", checksum="checksum", nulls="first", tie="source_checksum")
+    return found.select("fact_id", "owner_id", "available_at", "checksum", "value_cents", "version_rank")
+
+
 @query(f"""SELECT series_id, observation_id, value_cents AS last_cents, available_at FROM (
   SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY available_at DESC, observation_id DESC) AS r2 FROM (
     SELECT *, row_number() OVER (PARTITION BY series_id, period_end ORDER BY available_at DESC, observation_id DESC) AS r
