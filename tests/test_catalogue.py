@@ -45,3 +45,19 @@ def test_equal_ranks_without_a_checksum_are_settled(spark):
     rows = spark.createDataFrame(made, "fact_id int, available_at int, version_rank int, checksum string, source_checksum string")
     for again in (rows, rows.orderBy("source_checksum"), rows.orderBy(F.desc("source_checksum"))):
         assert pit.current_versions(again, "fact_id", checksum="checksum", nulls="first", tie="source_checksum").first().source_checksum == "c"
+
+
+def test_titles_of_all_documents_are_matched(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert catalogue.QUERIES["q_title_all"](spark, DATA).count() == docs.count()
+
+
+def test_marks_between_digits_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    texts = ["call 1(2)3 at 12:30:45/6", "a@b 1@2.5,6:7", "1.2:3,4/5", "+1 (415) 555-2671", "9:-3", "1::2", "", None, "x\n1:2"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, catalogue.QUERIES["q_title_all"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(catalogue.ORACLE_SQL["q_title_all"]).fetchall()) and got[1][1] == "a b 1|2.5.6|7"

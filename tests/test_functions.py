@@ -24,6 +24,14 @@ def test_titles(spark):
     assert full[:3] == ["cpi up plus 1.5 final", "score 1 minus 0", "gdp minus 3"] and full[3] == "a株1.234" and full[4] is None
 
 
+def test_clusters_hold_variants_of_a_title(spark):
+    titles = ["Ａ股 上涨 5%", "A股上涨 5 %", "a股上涨5", "A股上涨6", "", "!", None]
+    rows = spark.createDataFrame([(i, t, f"u{i}") for i, t in enumerate(titles)], "i int, t string, u string")
+    made = rows.select("i", text.cluster_id(F.col("t"), F.array(F.lit("b"), F.lit("a")), F.lit("2024-01-02 03:00:00").cast("timestamp"), F.col("u"), F.lit("h")).alias("c"))
+    found = [r.c for r in made.orderBy("i").collect()]
+    assert found[0] == found[1] == found[2] and len({found[0], *found[3:6]}) == 4
+
+
 def test_ids_and_payloads(spark):
     a, b = (spark.range(1).select(text.stable_id("x", F.lit("p"), F.lit(q))).first()[0] for q in ("1", "2"))
     assert a != b and a.startswith("x_") and len(a) == 66

@@ -96,7 +96,7 @@ def checksum(*columns: str) -> Column:
 
 def cluster_id(title: Column, entity_ids: Column, published_at: Column, url: Column, content_hash: Column) -> Column:
     """Hash of the matching title, sorted entities and UTC day; an empty title adds URL and content."""
-    matched = simple_title(title)
+    matched = full_title(title)
     said = F.struct(matched.alias("title"), F.array_sort(entity_ids).alias("entity_ids"), F.to_date(published_at).cast("string").alias("day"), F.when(matched == "", url).alias("url"), F.when(matched == "", content_hash).alias("hash"))
     return F.concat(F.lit("cluster_"), F.sha2(F.to_json(said), 256))
 

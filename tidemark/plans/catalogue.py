@@ -296,6 +296,14 @@ def q_title_normalise(spark, d):
     return rows.select("doc_id", text.simple_title(first).alias("matched"))
 
 
+@query(r"""SELECT doc_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]),
+  '\+([0-9])', ' plus \1', 'g'), '[-−]([0-9])', ' minus \1', 'g'), '([0-9])[.,]([0-9])', '\1' || chr(1) || '\2', 'g'), '([0-9])[.,]([0-9])', '\1' || chr(1) || '\2', 'g'),
+  '([0-9])\p{P}([0-9])', '\1|\2', 'g'), '([0-9])\p{P}([0-9])', '\1|\2', 'g'), '\p{P}', ' ', 'g'), chr(1), '.'), '\s+', ' ', 'g')) AS matched FROM documents""")
+def q_title_all(spark, d):
+    """As q_title_normalise, for all documents."""
+    return table(spark, d, "documents").select("doc_id", text.simple_title(F.substring_index("text", "\n", 1)).alias("matched"))
+
+
 @query("SELECT event_id, 'obs_' || substr(sha256(user_id || '|' || event_type || '|' || event_id), 1, 32) AS stable_id FROM events")
 def q_stable_id(spark, d):
     return table(spark, d, "events").select("event_id", text.joined_id("obs_", F.col("user_id"), F.col("event_type"), F.col("event_id")).alias("stable_id"))
