@@ -61,3 +61,10 @@ def test_marks_between_digits_agree_with_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted(map(tuple, catalogue.QUERIES["q_title_all"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(catalogue.ORACLE_SQL["q_title_all"]).fetchall()) and got[1][1] == "a b 1|2.5.6|7"
+
+
+def test_aliases_of_all_owners_are_resolved(spark):
+    held = facts.validity(spark, DATA).collect()
+    got = catalogue.QUERIES["q_alias_all"](spark, DATA).collect()
+    assert {r.symbol for r in got} == {f"{r.alias}#{r.instrument_id // 10}" for r in held}
+    assert {r.status for r in got} == {"ambiguous", "resolved", "inactive"}

@@ -170,6 +170,18 @@ def q_alias_resolution(spark, d):
     return found.select("alias", F.coalesce("instrument_id", F.lit(-1)).alias("instrument_id"), "status")
 
 
+@query(f"""WITH {VALID}, held AS (SELECT alias || '#' || (instrument_id // 10) AS symbol, * FROM validity), asked AS (SELECT DISTINCT symbol, DATE '1998-03-01' AS day FROM held),
+met AS (SELECT a.symbol, count(DISTINCT CASE WHEN valid_from <= day AND (valid_to IS NULL OR day < valid_to) THEN instrument_id END) AS n, min(CASE WHEN valid_from <= day AND (valid_to IS NULL OR day < valid_to) THEN instrument_id END) AS one
+  FROM asked a JOIN held s ON s.symbol = a.symbol GROUP BY a.symbol)
+SELECT symbol, CASE WHEN n = 1 THEN one ELSE -1 END AS instrument_id, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'resolved' ELSE 'inactive' END AS status FROM met""")
+def q_alias_all(spark, d):
+    """As q_alias_resolution, for all owners, under the finer aliases of q_alias_overlap."""
+    held = validity(spark, d).withColumn("symbol", F.concat_ws("#", "alias", F.floor(F.col("instrument_id") / 10).cast("string")))
+    asked = held.select("symbol").distinct().withColumn("day", F.lit("1998-03-01").cast("date"))
+    found = pit.resolve_aliases(asked, held, ["symbol"], "day")
+    return found.select("symbol", F.coalesce("instrument_id", F.lit(-1)).alias("instrument_id"), "status")
+
+
 @query(f"""WITH {VALID}, held AS (SELECT alias || '#' || (instrument_id // 10) AS symbol, instrument_id, valid_from, valid_to FROM validity)
 SELECT a.symbol, a.instrument_id AS left_owner, b.instrument_id AS right_owner, count(*) AS n FROM held a JOIN held b ON a.symbol = b.symbol AND a.instrument_id < b.instrument_id
 WHERE a.valid_from < coalesce(b.valid_to, DATE '9999-12-31') AND b.valid_from < coalesce(a.valid_to, DATE '9999-12-31') GROUP BY ALL""")
