@@ -49,10 +49,26 @@ def corpus(prose):
     return rows + [(400, "ab" * 500), (401, "abc" * 300), (402, "z" * 199), (403, "z" * 200), (404, "z" * 201), (405, None), (406, "")]
 
 
-@pytest.mark.parametrize("batch", [200_000, 50])
-def test_same_bytes_as_brute_force(frame, prose, monkeypatch, batch):
-    monkeypatch.setattr(suffixes, "BATCH_SUFFIXES", batch)
-    monkeypatch.setattr(suffixes, "STEP_BYTES", batch)  # with small steps a hot key goes through several slices
+@pytest.mark.parametrize("way", ["plain", "small", "hot", "locally hot", "two levels"])
+def test_same_bytes_as_brute_force(frame, prose, monkeypatch, way):
+    """Once as it runs; with small batches; with nearly all anchors hot in their part, or in their batch; with parts cut by tasks."""
+    from tidemark.llm import common
+
+    if way == "small":
+        monkeypatch.setattr(suffixes, "BATCH_SUFFIXES", 50)
+        monkeypatch.setattr(suffixes, "STEP", 3)
+        monkeypatch.setattr(common, "SECTION_BYTES", 1000)
+    elif way == "hot":
+        monkeypatch.setattr(suffixes, "BATCH_SUFFIXES", 200)
+        monkeypatch.setattr(suffixes, "HOT", 2)
+        monkeypatch.setattr(common, "SECTION_BYTES", 5000)
+    elif way == "locally hot":
+        monkeypatch.setattr(suffixes, "BATCH_SUFFIXES", 300)
+        monkeypatch.setattr(suffixes, "LOCAL_HOT", 1)
+    elif way == "two levels":
+        monkeypatch.setattr(common, "DIRECT_PARTS", 2)
+        monkeypatch.setattr(common, "PART_BYTES", 20_000)
+        monkeypatch.setattr(common, "MAX_TASKS", 3)
     rows = corpus(prose)
     assert run(frame(rows)) == brute(rows)
 
@@ -67,32 +83,58 @@ def test_equal_windows_have_equal_anchors(prose):
     raws = [prose(200, k).encode() for k in range(3)]
     raws.append(b"12345" + raws[0][7:])
     data, bounds = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
-    found = suffixes.suffixes(data, bounds, np.arange(4))
+    found = suffixes.suffixes(data, bounds, np.column_stack([np.arange(4), np.zeros(4, int)]))
     anchors = {}
     for e in found:
+        raw, a = raws[e["r0"]], int(e["start"]) + int(e["lead"])
+        assert raw[a : a + suffixes.ANCHOR] == e["anchor"]
         for k in range(int(e["more"]) + 1):
             s = int(e["start"]) + k
-            anchors.setdefault(raws[e["row"]][s : s + 200], set()).add((int(e["key"]), int(e["lead"]) - k))
+            anchors.setdefault(raw[s : s + 200], set()).add((bytes(e["anchor"]), int(e["lead"]) - k))
     assert sum(map(len, raws)) - 4 * 199 == sum(int(e["more"]) + 1 for e in found)
     assert all(len(a) == 1 for a in anchors.values())
 
 
-def test_levels_shrink_geometrically():
-    family = suffixes.Family(("key", "context"))
-    r = np.random.default_rng(1)
-    pairs = []
-    for _ in range(40):
-        batch = np.zeros(r.integers(1, 50), suffixes.SUFFIX)
-        batch["key"], batch["context"] = r.integers(0, 400, len(batch)), r.integers(0, 3, len(batch))
-        pairs += list(zip(batch["key"].tolist(), batch["context"].tolist(), strict=True))
-        family.add(batch)
-        sizes = [len(x) for x, _ in family.levels]
+def test_contexts_are_compared_byte_by_byte():
+    """Random contexts around one anchor, also with zero bytes, against all windows cut out."""
+    r = random.Random(6)
+    anchor = bytes(r.randrange(256) for _ in range(40))
+    contexts = []
+    for k in range(60):
+        lead = r.randrange(161)
+        more = r.randrange(min(lead, 160) + 1)
+        left, right = bytes(r.choice([0, 0, 97]) for _ in range(3)), bytes(r.choice([0, 0, 97]) for _ in range(3))
+        raw = (left * 60)[-lead:] if lead else b""
+        raw += anchor + (right * 60)[: 200 + more - lead - 40]
+        contexts.append((k, lead, more, raw))
+    head = np.array([(5, k, 0, 1000 * k, len(raw), lead, k % 3 > 0) for k, lead, _, raw in contexts], np.int64)
+    data = np.frombuffer(b"".join(c[3] for c in contexts), np.uint8)
+    got = suffixes.compare(head, data, np.cumsum(head[:, 4]) - head[:, 4])
+    seen = {}
+    for k, lead, more, raw in contexts:
+        for s in range(more + 1):
+            seen.setdefault((raw[s : s + 200], lead - s), []).append((k, s))
+    expected = set()
+    for places in seen.values():
+        if len(places) > 1:
+            expected |= {(k, 1000 * k + s + d) for k, s in places if k % 3 for d in range(200)}
+    assert {(int(r0), p) for r0, _, a, b in got for p in range(a, b)} == expected and expected
+
+
+def test_the_index_meets_later_batches(spark, frame, prose, tmp_path, monkeypatch):
+    """Five batches, one after the other: together the same spans as brute force over all, and levels that shrink geometrically."""
+    monkeypatch.setattr(suffixes, "HOT", 6)
+    monkeypatch.setattr(suffixes, "LOCAL_HOT", 4)
+    rows = corpus(prose)
+    index = suffixes.SuffixIndex(spark, f"file://{tmp_path}", expected_bytes=1e5)
+    gone: dict = {}
+    for n in range(5):
+        for r in index.add(frame(rows[n::5])).collect():
+            gone.setdefault(r.doc_id, set()).update(range(r.start, r.stop))
+        sizes = index.version()["sizes"]
         assert all(a >= 2 * b for a, b in zip(sizes[:-1], sizes[1:], strict=True))
-    entries, (met, twin) = family.all()
-    keys = [k for k, _ in pairs]
-    assert len(entries) == len(pairs)
-    for e, m, t in zip(entries, met, twin, strict=True):
-        assert m == (keys.count(e["key"]) > 1) and t == (pairs.count((e["key"], e["context"])) > 1)
+    assert {i: len(x) for i, x in gone.items()} == {i: n for i, _, n, _, _ in brute(rows) if n}
+    assert index.version()["version"] == 5 and len(index.version()["levels"]) < 5
 
 
 def test_query_agrees_with_sql(spark, agrees):
