@@ -3,13 +3,18 @@
 Token counts of the cells (source, language, topic) are raked in turn to the three target
 marginals; a cell never gets more than it holds, so the others take up what it can't give. A
 document's probability is its cell's raked share, and a hash of its id decides, the same on every
-run.
+run. Where cells hold too little, targets can't be met; `marginals` tells for each value what was
+wanted and what is reached.
+
+A topic is given by the caller as a column. Without one, documents are told apart by their form (table,
+licensed, brief, long, prose); this is no topic model.
 
 Targets: shares by value, or a power of the observed shares (1 keeps them, 0 makes values equal).
 
 Defined cases: a null source or language is a value of its own; a null or empty text has no tokens,
 counts as one token, and is of topic 'brief'; repeated rows share their id's fate; an empty table
-gives an empty table; a value without a target share gets none; other columns are ignored.
+gives an empty table; a value without a target share gets none; other columns are ignored, and kept by
+the stage.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, plain_words, written
+from tidemark.llm.common import documents, evenly_spaced, kept_whole, plain_words, quoted, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Power of the observed shares, by dimension.
@@ -42,17 +47,27 @@ def topic(text: Column, tokens: Column) -> Column:
     )
 
 
-def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _source, _lang, _topic and _tokens beside its own columns."""
-    out = docs.withColumns({f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c in ("source", "lang")})
-    out = out.withColumn("_tokens", F.greatest(F.size(plain_words(F.col(text))), F.lit(1)).cast("long"))
-    return out.withColumn("_topic", topic(F.col(text), F.col("_tokens")))
+def word_count(text: Column) -> Column:
+    """Number of words [^\\x20\\x09-\\x0D]+; words are only cut out of texts with two white spaces in a row."""
+    said = evenly_spaced(text)
+    trimmed = F.trim(said)
+    apart = F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1
+    return F.when(trimmed == "", 0).when(trimmed.contains("  "), F.size(plain_words(text))).otherwise(apart)
+
+
+def with_measures(docs: DataFrame, text: str = "text", given: Column | None = None) -> DataFrame:
+    """row (all columns of docs), source, lang, topic and tokens."""
+    out = docs.select(
+        kept_whole(docs), docs[quoted(text)].alias("text"), *[F.coalesce(docs[c].cast("string"), F.lit(NONE)).alias(c) for c in ("source", "lang")],
+        *([] if given is None else [F.coalesce(given.cast("string"), F.lit(NONE)).alias("topic")]),
+    )
+    out = out.withColumn("tokens", F.greatest(word_count(F.col("text")), F.lit(1)).cast("long"))
+    return out if given is not None else out.withColumn("topic", topic(F.col("text"), F.col("tokens")))
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", given: Column | None = None) -> DataFrame:
     """doc_id, source, lang, topic and tokens of each document, written: texts are read once for them."""
-    names = [F.col(f"_{c}").alias(c) for c in (*DIMENSIONS, "tokens")]
-    return written(with_measures(docs, text).select(F.col(key).alias("doc_id"), *names), "measured")
+    return written(with_measures(docs, text, given).select(F.col(f"row.{quoted(key)}").alias("doc_id"), *DIMENSIONS, "tokens"), "measured")
 
 
 def _target(totals: dict[str, float], given: dict[str, float] | float) -> dict[str, float]:
@@ -131,12 +146,32 @@ def fit_rates(rows: DataFrame, targets: dict | None = None, budget: float = BUDG
     return F.broadcast(rows.sparkSession.createDataFrame(table, "source string, lang string, topic string, rate double"))
 
 
-def mix_sources(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, rate and sampled, for each document.
+def marginals(rows: DataFrame, rates: DataFrame, targets: dict | None = None, budget: float = BUDGET) -> DataFrame:
+    """dimension, value, held, wanted and reached tokens of each value, of measured rows under the rates of their cells."""
+    targets = POWERS | (targets or {})
+    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).join(rates, list(DIMENSIONS))
+    out = None
+    for name in DIMENSIONS:
+        sums = cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").alias("held"), F.sum(F.col("tokens") * F.col("rate")).alias("reached"))
+        whole = sums.agg(F.sum("held").alias("whole"))
+        given = targets[name]
+        if isinstance(given, int | float):
+            share = F.pow(F.col("held") / F.col("whole"), F.lit(float(given)))
+        else:
+            share = F.coalesce(*[F.when(F.col("value") == v, F.lit(float(s))) for v, s in given.items()], F.lit(0.0))
+        shares = sums.crossJoin(F.broadcast(whole)).withColumn("share", share)  # one row
+        norm = shares.agg(F.sum("share").alias("norm"))
+        one = shares.crossJoin(F.broadcast(norm)).select(F.lit(name).alias("dimension"), "value", F.col("held").cast("long").alias("held"), (F.col("share") / F.col("norm") * F.col("whole") * budget).alias("wanted"), "reached")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def mix_sources(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, key: str = "doc_id", text: str = "text", given: Column | None = None, **options) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, rate and sampled, for each document; `given` is its topic.
 
     The narrow table of measures is written, its cells are summed and raked.
     """
-    rows = measured(docs, key, text)
+    rows = measured(docs, key, text, given)
     rates = fit_rates(rows, targets, budget, **options)
     drawn = (chance(F.col("doc_id")) < F.col("rate")).alias("sampled")
     return rows.join(rates, list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", "rate", drawn)
@@ -147,12 +182,18 @@ def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *DIMENSIONS, "tokens", F.round(F.col("rate") * 1e6).cast("long").alias("rate_ppm"), "sampled")
 
 
+def op2_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source, language and topic holds, should give and gives, in whole tokens."""
+    rows = measured(documents(spark, sf_dir))
+    whole = lambda c: F.round(c).cast("long").alias(c)
+    return marginals(rows, fit_rates(rows)).select("dimension", "value", "held", whole("wanted"), whole("reached"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled documents. Whole rows meet the rates of their cells, so texts are read twice but not shuffled."""
     rates = fit_rates(measured(docs))
-    same = [F.col(f"_{c}") == rates[c] for c in DIMENSIONS]
-    met = with_measures(docs).join(rates, same).where(chance(docs["doc_id"]) < F.col("rate"))
-    return met.select(*[docs[c] for c in docs.columns])
+    met = with_measures(docs).drop("text").join(rates, list(DIMENSIONS))
+    return met.where(chance(F.col("row.doc_id")) < F.col("rate")).select("row.*")
 
 
 def _sql_parts(docs: str) -> str:
@@ -186,3 +227,9 @@ drawn AS (
 
 SQL = f"""WITH {_sql_parts("documents")}
 SELECT doc_id, c_source AS source, c_lang AS lang, c_topic AS topic, CAST(c_tokens AS BIGINT) AS tokens, CAST(round(rate * 1e6) AS BIGINT) AS rate_ppm, sampled FROM drawn"""
+
+MARGINALS_SQL = f"""WITH {_sql_parts("documents")},
+said AS (SELECT c_source, c_lang, c_topic, c_tokens, rate, unnest([struct_pack(dimension := 'source', value := c_source), struct_pack(dimension := 'lang', value := c_lang), struct_pack(dimension := 'topic', value := c_topic)]) AS v FROM drawn),
+sums AS (SELECT v.dimension AS dimension, v.value AS value, sum(c_tokens) AS held, sum(c_tokens * rate) AS reached FROM said GROUP BY ALL),
+value_shares AS (SELECT *, sum(held) OVER (PARTITION BY dimension) AS whole, pow(held / sum(held) OVER (PARTITION BY dimension), CASE dimension {" ".join(f"WHEN '{d}' THEN {p}" for d, p in POWERS.items())} END) AS share FROM sums)
+SELECT dimension, value, CAST(held AS BIGINT) AS held, CAST(round(share / sum(share) OVER (PARTITION BY dimension) * whole * {BUDGET}) AS BIGINT) AS wanted, CAST(round(reached) AS BIGINT) AS reached FROM value_shares"""

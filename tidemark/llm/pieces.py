@@ -7,7 +7,9 @@ piece's bounds carry over to the original bytes.
 
 Defined cases: a null text encodes as the empty text (begin and end ids only); other columns are
 ignored; repeated rows give repeated results; an empty table gives an empty table. A model without
-byte fallback may give unknown pieces; their surfaces are then read from the library's own result.
+byte fallback may give unknown pieces; their surfaces are then read from the library's own result. If
+the pieces don't cover the normalised text, the bounds are null; ids and text are the library's in any
+case. The pieces of a model without a map (as the default one) differ from the text by spaces only.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import pieces
-from tidemark.llm.common import documents
+from tidemark.llm.common import documents, quoted
 
 #: The sign for a space, the sign for malformed input, numbers of the model format's fields and piece kinds.
 SPACE_SIGN = "▁".encode()
@@ -152,12 +154,10 @@ class Normalizer:
 class Codec:
     """One model: ids with bounds on the original bytes, and decoding."""
 
-    def __init__(self, path: str):
+    def __init__(self, raw: bytes):
         import sentencepiece
 
-        with open(path, "rb") as f:
-            raw = f.read()
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=raw)
         entries = list(fields(raw))
         spec = next((dict(fields(v)) for k, v in entries if k == NORMALIZER), {})
         self.normalizer = Normalizer(spec)
@@ -169,25 +169,26 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, "<u4") for x in self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)]
 
-    def bounds(self, text: str, ids: np.ndarray) -> np.ndarray:
-        """Original byte where each piece starts, and the end: piece i spans bounds[i] to bounds[i + 1]."""
+    def bounds(self, text: str, ids: np.ndarray) -> np.ndarray | None:
+        """Original byte where each piece starts, and the end: piece i spans bounds[i] to bounds[i + 1]; None if pieces don't cover the normalised text."""
         normal, source = self.normalizer(text.encode())
         widths = self.widths[ids]
         if self.unknown[ids].any():
-            found = self.library.encode(text, out_type="immutable_proto").pieces
-            widths[self.unknown[ids]] = [len(p.surface.encode().replace(b" ", self.normalizer.space)) for p in found if self.unknown[p.id]]
+            found = [len(p.surface.encode().replace(b" ", self.normalizer.space)) for p in self.library.encode(text, out_type="immutable_proto").pieces if self.unknown[p.id]]
+            if len(found) != int(self.unknown[ids].sum()):
+                return None
+            widths[self.unknown[ids]] = found
         places = np.concatenate([[0], np.cumsum(widths)])
-        if places[-1] != len(normal):
-            raise ValueError(f"pieces cover {places[-1]} of {len(normal)} normalised bytes")
-        return source[places]
+        return source[places] if places[-1] == len(normal) else None
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.library.decode(ids.tolist())
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return self.library.decode([x.tolist() for x in ids], num_threads=1)
 
 
 @functools.lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    with open(path, "rb") as f:
+        return Codec(f.read())
 
 
 def default_model() -> str:
@@ -209,17 +210,18 @@ def encode_documents(docs: DataFrame, model: str | None = None, key: str = "doc_
         for batch in pieces(batches, "text"):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             ids = own.encode(texts)
+            bounds = [own.bounds(t, x) for t, x in zip(texts, ids, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([x.tobytes() for x in ids], pa.binary()),
-                    pa.array([own.bounds(t, x).astype("<u4").tobytes() for t, x in zip(texts, ids, strict=True)], pa.binary()),
-                    pa.array([own.decode(x) for x in ids], pa.string()),
+                    pa.array([None if x is None else x.astype("<u4").tobytes() for x in bounds], pa.binary()),
+                    pa.array(own.decode(ids), pa.string()),
                 ],
                 names=["doc_id", "ids", "bounds", "decoded"],
             )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(docs[quoted(key)].cast("long").alias("doc_id"), docs[quoted(text)].alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary, bounds binary, decoded string")
 
 

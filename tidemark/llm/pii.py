@@ -1,25 +1,37 @@
 """Personal data: format-preserving pseudonyms.
 
-Numbers, dates and addresses are found by pattern, validated (check digits, ranges, calendar), and
-replaced by a keyed permutation within their own format: a Feistel network over the format's
-domain, walked on while it leaves the domain. Equal values get equal pseudonyms in all documents,
-whatever their separators; with the key a pseudonym can be turned back. Values that don't validate
-stay as they are; the search then goes on with shorter ends, later kinds and the next start inside.
-A pseudonym beside other numbers or words may be valid together with them by chance, so to turn a
-text back exactly, take the places from `private`.
+Numbers, dates and addresses are found by pattern, validated (check digits, registered lengths, ranges,
+calendar), and replaced by a keyed permutation within their own format: a Feistel network over the
+format's domain, walked on while it leaves the domain, and moved on by one place, so that no value
+stands for itself. Each kind has one canonical value, whatever the separators: a phone number is its
+country code and digits, a date is a day, a mail address is a name under a domain. Equal values get
+equal pseudonyms in all documents; with the key a pseudonym can be turned back. Values that don't
+validate stay as they are; the search then goes on with shorter ends, later kinds and the next start
+inside. A pseudonym beside other numbers or words may be valid together with them by chance, so to
+turn a text back exactly, take the places from `private`.
+
+Kept in clear: a phone's country code, an IBAN's country, a mail address's last label, whether a day lies
+after the 12th. Days after the 12th and others are permuted among themselves, so a date that is only
+valid with the month first stays so.
+
+The key comes from the caller, or from the session's SECRET_CONF. Without one, the session draws a key of
+its own: values are linked within the session, and nobody can turn them back.
 
 Defined cases: a null text stays null; an empty or clean text is unchanged; of overlapping finds the
-leftmost counts, then the earlier kind of KINDS; repeated rows give equal rows; an empty table gives
-an empty table; other columns are kept unless named here (key, text), and come through unread.
+leftmost counts, then the earlier kind of KINDS; a date that is valid with the day first is read so;
+repeated rows give equal rows; an empty table gives an empty table. The caller's columns are kept, but
+for those named like a result (n_private, private); in the stage all are kept.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import functools
 import hashlib
 import math
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,13 +41,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.arrow import pieces
-from tidemark.llm.common import documents
+from tidemark.llm.common import documents, kept_whole, quoted
 
 ROUNDS = 10
-#: Key of the registered query; a deployment passes its own.
-DEMO_KEY = b"tidemark demonstration key"
+#: Where a session keeps its key; Spark's own rules keep settings of such names out of logs.
+SECRET_CONF = "spark.tidemark.pseudonyms.secret"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Country calling codes of one and of two digits; all others have three.
+SHORT_CODES = {"1", "7"}
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Registered lengths of IBANs by country.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BI=27, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DJ=27, DK=18, DO=28, EE=20, EG=29,
+    ES=24, FI=18, FK=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28,
+    LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MN=20, MR=27, MT=31, MU=30, NI=28, NL=18, NO=15, OM=23, PK=24, PL=28, PS=29, PT=25,
+    QA=29, RO=24, RS=22, RU=33, SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, SO=23, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20, YE=30,
+)
+
+
+@functools.cache
+def days(late: bool) -> list[int]:
+    """Days after the 12th of their month, or others, in order."""
+    return [n for n in range(FIRST_DAY, LAST_DAY + 1) if (datetime.date.fromordinal(n).day > 12) == late]
+
+
+def session_secret(spark: SparkSession) -> bytes:
+    """The session's key; one that was not set is drawn and kept for the session."""
+    found = spark.conf.get(SECRET_CONF, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(SECRET_CONF, found)
+    return found.encode()
 
 
 class Permutation:
@@ -114,22 +151,33 @@ class Pseudonyms:
         self.known = functools.lru_cache(maxsize=100_000)(self._one)
 
     def permute(self, tweak: str, size: int, value: int) -> int:
+        """A permutation without fixed places: to the value's hidden place, one on, and back."""
         own = self.permutation(tweak, size)
-        return own.backward(value) if self.back else own.forward(value)
+        return own.backward((own.forward(value) + (-1 if self.back else 1)) % size)
 
     def text(self, tweak: str, value: str) -> str:
         number, size = radix(value)
         return unradix(self.permute(f"{tweak}|{re.sub('[0-9]', '0', re.sub('[a-z]', 'a', value))}", size, number), value)
 
+    def domain(self, found: str) -> str:
+        """The domain with all labels but the last replaced as one value."""
+        head, dot, last = found.rpartition(".")
+        plain = re.sub(r"[^a-z0-9]", "", head.lower())
+        return refill(head, self.text(f"domain|{last.lower()}", plain)) + dot + last if plain else found
+
     def email(self, found: str) -> str | None:
         local, _, domain = found.rpartition("@")
         plain = re.sub(r"[^a-z0-9]", "", local.lower())
-        return f"{refill(local, self.text('email', plain))}@{domain}" if plain else None
+        if not plain:
+            return None
+        fresh = self.domain(domain)
+        under = fresh if self.back else domain
+        return f"{refill(local, self.text(f'email|{under.lower()}', plain))}@{fresh}"
 
     def iban(self, found: str) -> str | None:
         plain = found.replace(" ", "")
         country, check, account = plain[:2], plain[2:4], plain[4:]
-        if not 11 <= len(account) <= 30 or iban_digits(country, account) != check:
+        if IBAN_LENGTHS.get(country) != len(plain) or iban_digits(country, account) != check:
             return None
         fresh = self.text(f"iban|{country}", account.lower()).upper()
         return refill(found, country.lower() + iban_digits(country, fresh) + fresh.lower())
@@ -158,14 +206,17 @@ class Pseudonyms:
         return f"{place + 1 + (place >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
     def phone(self, found: str) -> str | None:
+        """Numbers of three, three and four digits without a country code are read as of code 1."""
         plain = re.sub(r"\D", "", found)
-        lead = re.match(r"\+(\d{1,3})(?=[ .(-])", found)
-        country = lead[1] if lead else ""
+        if found.startswith("+"):
+            country = plain[: 1 if plain[0] in SHORT_CODES else 2 if plain[:2] in TWO_DIGIT_CODES else 3]
+        else:
+            country, plain = "1", "1" + plain
         number = plain[len(country) :]
-        if not 7 <= len(number) <= 14 or len(plain) > 15:
+        if plain[0] == "0" or not 7 <= len(number) <= 14 or len(plain) > 15:
             return None
-        rest = found[lead.end() :] if lead else found
-        return (lead[0] if lead else "") + refill(rest, self.text(f"phone|{country}", number))
+        fresh = self.text(f"phone|{country}", number)
+        return refill(found, (country if found.startswith("+") else "") + fresh)
 
     def date(self, found: str) -> str | None:
         parts = re.split(r"\D", found)
@@ -177,7 +228,8 @@ class Pseudonyms:
             except ValueError:
                 continue
             if FIRST_DAY <= day <= LAST_DAY:
-                fresh = datetime.date.fromordinal(FIRST_DAY + self.permute("date", LAST_DAY - FIRST_DAY + 1, day - FIRST_DAY))
+                among = days(d > 12)
+                fresh = datetime.date.fromordinal(among[self.permute(f"date|{d > 12}", len(among), bisect.bisect_left(among, day))])
                 said = {"y": f"{fresh.year:04d}", "m": f"{fresh.month:02d}", "d": f"{fresh.day:02d}"}
                 return refill(found, "".join(said[c] for c in order))
         return None
@@ -222,8 +274,8 @@ class Pseudonyms:
 
 #: Patterns by kind; each begins where its run of characters begins, so a long run is scanned once.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])(?P<email>[A-Za-z0-9._%+-]{1,256}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)",
-    "secret": r"(?i:\b(?:token|secret|api[_-]?key|password)\s{0,3}[=:]\s{0,3}[\"'])(?P<secret>[0-9a-f]{16,128}|[0-9A-F]{16,128})(?=[\"'])",
+    "email": r"(?<![A-Za-z0-9._%+-])(?P<email>[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)",
+    "secret": r"(?i:\b(?:token|secret|api[_-]?key|password)\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[0-9a-f]{16,}+|[0-9A-F]{16,}+)(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "address": r"(?<![0-9.])(?P<address>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?P<date>[0-9]{4}(?P<y>[-/])[0-9]{2}(?P=y)[0-9]{2}|[0-9]{2}(?P<d>[./])[0-9]{2}(?P=d)[0-9]{4})(?![0-9]|[./-][0-9])",
@@ -240,39 +292,44 @@ ALONE = {kind: re.compile(pattern) for kind, pattern in KINDS.items()}
 CORES = {kind: re.compile(re.sub(r"^\(\?<!.*?\]\)|\(\?![^()]*\)$", "", KINDS[kind])) for kind in ("iban", "phone")}
 
 
-def pseudonymise(docs: DataFrame, secret: bytes, text: str = "text", back: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, secret: bytes | None = None, text: str = "text", back: bool = False) -> DataFrame:
     """docs with the text rewritten, and n_private and private (kind, start and end of each value in the old text).
 
     Texts without a digit and without @ can hold no value and are passed over.
     """
-    taken = [c for c in docs.columns if c not in ("n_private", "private")]
+    found = _rewritten(docs, secret, text, back)
+    own = [F.col("text").alias(c) if c == text else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c.lower() not in ("n_private", "private")]
+    return found.select(*own, "n_private", "private")
+
+
+def _rewritten(docs: DataFrame, secret: bytes | None, text: str, back: bool) -> DataFrame:
+    """row (the other columns of docs), text, n_private and private."""
+    secret = secret or session_secret(docs.sparkSession)
+    rows = docs.select(kept_whole(docs, text), docs[quoted(text)].cast("string").alias("text"))
     found = T.StructType.fromDDL("n_private long, private array<struct<kind:string,start:int,end:int>>")
-    schema = T.StructType([*docs.select(*taken).schema.fields, *found.fields])
+    schema = T.StructType([*rows.schema.fields, *found.fields])
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pseudonyms(secret, back)
-        for batch in pieces(batches, text):
-            at = batch.schema.get_field_index(text)
-            column = batch.column(at)
+        for batch in pieces(batches, "text"):
+            row, column = batch.columns
             likely = pc.fill_null(pc.match_substring_regex(column, "[0-9@]"), False).to_pylist()
             texts = column.to_pylist()
             results = [own.replace(t) if hit else (t, []) for t, hit in zip(texts, likely, strict=True)]
-            columns = list(batch.columns)
-            columns[at] = pa.array([t for t, _ in results], column.type)
             finds = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f] for _, f in results], spans)
-            counts = pa.array([len(f) for _, f in results], pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, counts, finds], names=[*batch.schema.names, "n_private", "private"])
+            yield pa.RecordBatch.from_arrays([row, pa.array([t for t, _ in results], column.type), pa.array([len(f) for _, f in results], pa.int64()), finds], names=["row", "text", "n_private", "private"])
 
-    return docs.select(*taken).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("private", lambda x: x["kind"]))), ",")
-    return pseudonymise(docs, DEMO_KEY).select("doc_id", "text", "n_private", kinds.alias("kinds"))
+    return pseudonymise(docs).select("doc_id", "text", "n_private", kinds.alias("kinds"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms in their texts."""
-    return pseudonymise(docs, DEMO_KEY).select(*docs.columns)
+    """All documents, with pseudonyms in their texts, under the session's key."""
+    found = _rewritten(docs, None, "text", False)
+    return found.select(*[F.col("text").alias(c) if c == "text" else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

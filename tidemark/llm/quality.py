@@ -1,15 +1,20 @@
 """Quality rules: countable base rules, then a hashed n-gram log-likelihood ratio.
 
-Native: DataFrame functions only, no shuffle of texts. A document's score is the mean over its
-n-grams of log(p_target / p_raw), with multinomials over BUCKETS hashed n-grams, from trusted
-labelled documents and from all documents (Xie et al., "Data Selection for Language Models via
-Importance Resampling", 2023). An n-gram is a word's shape after that of the word before: runs of
-lower case become a, of upper case A, of other letters o, of digits 9; punctuation stays. Weights
-are whole millionths, so sums don't depend on the order of addition.
+Native: DataFrame functions only, no shuffle of texts. A document's score is the mean over its words
+of log(p_target / p_raw), with multinomials over hashed n-grams, from trusted labelled documents and
+from all documents (Xie et al., "Data Selection for Language Models via Importance Resampling",
+2023). Two families of n-grams are summed: the words themselves, in WORD_BUCKETS, and pairs of
+neighbouring words' forms, in FORM_BUCKETS. A form is a word's first character and its last three, with
+Latin letters as a or A and digits as 9; so a word that was never seen still has a likely or unlikely
+form. The target is smoothed towards the raw share by SMOOTHING words: a bucket that no trusted
+document has fallen into weighs more the more trusted words there are, and texts that are like all
+others score about 0 whatever the size of the target. Weights are whole millionths, so sums don't
+depend on the order of addition.
 
 Defined cases: a null or empty text has no words and fails the base rules; with no trusted
 document all weights are 0 and the base rules decide alone; repeated rows are judged one by one and
-counted one by one; null labels are not trusted; other columns are ignored.
+counted one by one; null labels are not trusted; an empty table gives an empty table. The caller's
+columns are kept, but for those that are named like a result; in the stage all are kept.
 """
 
 from __future__ import annotations
@@ -19,11 +24,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, evenly_spaced, plain_words
+from tidemark.llm.common import documents, evenly_spaced, kept_whole, plain_words, quoted
 from tidemark.llm.sql import CRC_TABLE, crc32
 
-BUCKETS = 4096
-SMOOTHING = 0.5
+#: Primes, so that all bits of a word's CRC-32 count.
+WORD_BUCKETS, FORM_BUCKETS = 16_381, 4_093
+BUCKETS = WORD_BUCKETS + FORM_BUCKETS
+#: The factor that tells the first of a pair from the second, and what stands before the first word.
+FACTOR, START = 1_000_003, 7
+#: Words by which the target is smoothed towards the raw share.
+SMOOTHING = 10_000
 #: At most so many trusted documents, those with the smallest md5 of their id, fit the target.
 TRUSTED_DOCS = 20_000
 #: Least mean weight of a kept document, in millionths of a nat.
@@ -32,95 +42,109 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-
-
-def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
-
-    Windows are compared by 64-bit hashes. Only texts with some window twice are sorted.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_e", evenly_spaced(F.col(text)))
-    out = out.withColumn("_w", F.array_remove(F.split("_e", " "), "")).withColumn("n_words", F.size("_w").cast("long"))
-    out = out.withColumn("word_chars", F.length(F.replace(F.col("_e"), F.lit(" "), F.lit(""))).cast("long"))
+#: Latin letters that count as a, and their capitals as A.
+SMALL = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+SIGNS = SMALL + "ß" + SMALL.upper() + "0123456789"
+CLASSES = "a" * (len(SMALL) + 1) + "A" * len(SMALL) + "9" * 10
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def _based(rows: DataFrame) -> DataFrame:
+    """rows (row, text) with the base columns beside them. Windows are compared by 64-bit hashes; only texts with some window twice are sorted."""
+    t = F.coalesce("text", F.lit(""))
+    out = rows.withColumn("spaced", evenly_spaced(F.col("text")))
+    out = out.withColumn("words", F.array_remove(F.split("spaced", " "), "")).withColumn("n_words", F.size("words").cast("long"))
+    out = out.withColumn("word_chars", F.length(F.replace(F.col("spaced"), F.lit(" "), F.lit(""))).cast("long"))
     symbols = F.when(t.rlike(f"[{SYMBOLS}]"), F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).otherwise(0)
     out = out.withColumn("n_symbols", symbols.cast("long"))
-    out = out.withColumn("_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    out = out.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-    out = out.withColumn("_w", F.transform("_w", lambda x: F.xxhash64(x)))
-    starts = F.when(F.size("_w") >= WINDOW, F.sequence(F.lit(0), F.size("_w") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn("_h", F.transform(starts, lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(WINDOW)])))
-    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
-    out = out.withColumn("_s", F.when(repeats, F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    alike = lambda e, k: (F.get("_s", k)["h"] == e["h"])
-    twice = F.filter("_s", lambda e, k: F.coalesce(alike(e, k - 1), F.lit(False)) | F.coalesce(alike(e, k + 1), F.lit(False)))
-    out = out.withColumn("_p", F.sort_array(F.transform(twice, lambda e: e["i"])))
-    gaps = F.transform("_p", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", k + 1) - p, F.lit(WINDOW))).cast("long"))
+    out = out.withColumn("lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    out = out.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+    out = out.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
+    starts = F.when(F.size("hashes") >= WINDOW, F.sequence(F.lit(0), F.size("hashes") - WINDOW)).otherwise(F.array().cast("array<int>"))
+    out = out.withColumn("wins", F.transform(starts, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(WINDOW)])))
+    repeats = F.size(F.array_distinct("wins")) < F.size("wins")
+    out = out.withColumn("ordered", F.when(repeats, F.sort_array(F.transform("wins", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    alike = lambda e, k: (F.get("ordered", k)["h"] == e["h"])
+    twice = F.filter("ordered", lambda e, k: F.coalesce(alike(e, k - 1), F.lit(False)) | F.coalesce(alike(e, k + 1), F.lit(False)))
+    out = out.withColumn("places", F.sort_array(F.transform(twice, lambda e: e["i"])))
+    gaps = F.transform("places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("places", k + 1) - p, F.lit(WINDOW))).cast("long"))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return out.withColumn("base_failed", failed).drop("_e", "_w", "_l", "_h", "_s", "_p")
+    return out.withColumn("base_failed", failed).drop("spaced", "lines", "hashes", "wins", "ordered", "places")
 
 
-def shape_grams(text: Column) -> Column:
-    """Shape of each word after that of the word before ('^' before the first)."""
-    shaped = F.coalesce(text, F.lit(""))
-    for pattern, sign in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"[\p{Lo}\p{Lt}\p{Lm}]+", "o"), (r"[0-9]+", "9")):
-        shaped = F.regexp_replace(shaped, pattern, sign)
-    return plain_words(shaped)
+def _rows(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(kept_whole(docs), docs[quoted(text)].alias("text"))
 
 
-def _paired(words: str) -> Column:
-    return F.transform(words, lambda w, i: F.concat(F.coalesce(F.get(words, i - 1), F.lit("^")), F.lit(" "), w))
+def _spread(judged: DataFrame, docs: DataFrame, named: list[str]) -> DataFrame:
+    """The caller's columns, but for those of these names, and the named columns."""
+    own = [F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c.lower() not in named]
+    return judged.select(*own, *named)
+
+
+def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    return _spread(_based(_rows(docs, text)), docs, MEASURES)
+
 
+def word_buckets(words: Column) -> Column:
+    return F.transform(words, lambda w: (F.crc32(w.cast("binary")) % WORD_BUCKETS).cast("int"))
 
-def bucket(gram: Column) -> Column:
-    """0 to BUCKETS - 1, from the n-gram's CRC-32."""
-    return F.crc32(gram.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int")
+
+def form_buckets(text: Column) -> Column:
+    """Bucket of each word's form after the form of the word before; form buckets come after word buckets."""
+    forms = plain_words(F.translate(F.coalesce(text, F.lit("")), SIGNS, CLASSES))
+    codes = F.transform(forms, lambda w: F.crc32(F.concat(F.substring(w, 1, 1), F.substring(w, -3, 3)).cast("binary")))
+
+    def paired(held: Column) -> Column:
+        return F.transform(held, lambda c, i: (F.lit(WORD_BUCKETS) + (F.coalesce(F.get(held, i - 1), F.lit(START).cast("long")) * FACTOR + c) % FORM_BUCKETS).cast("int"))
+
+    return F.transform(F.array(codes), paired)[0]
 
 
 def fit_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", trusted_docs: int = TRUSTED_DOCS) -> list[int]:
     """Weights of all buckets in millionths: log of target over raw share.
 
-    Every document counts for the raw share, and the trusted ones for the target. N-grams are
-    counted before they are hashed; map-side sums leave few rows to shuffle. BUCKETS numbers
-    come to the driver.
+    Every document counts for the raw share, and the trusted ones for the target. Map-side sums leave
+    BUCKETS rows a task to shuffle. BUCKETS numbers come to the driver.
     """
     trusted = (
         labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-        .select(F.col("doc_id").alias("_id")).distinct()
-        .orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(trusted_docs)
-        .withColumn("_t", F.lit(1))
+        .select(F.col("doc_id").alias("id")).distinct()
+        .orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(trusted_docs)
+        .withColumn("trusted", F.lit(1))
     )
-    grams = docs.select(F.col(key).alias("_key"), shape_grams(F.col(text)).alias("_w"))
-    grams = grams.join(F.broadcast(trusted), F.col("_key") == F.col("_id"), "left").select("_t", F.explode(_paired("_w")).alias("gram"))
-    counted = grams.groupBy("gram").agg(F.count("*").alias("raw"), F.count("_t").alias("target"))
-    found = counted.groupBy(bucket(F.col("gram")).alias("b")).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    total_raw, total_target = sum(r.raw for r in found), sum(r.target for r in found)
-    if not total_target:
-        return [0] * BUCKETS
-    raw, target = {r.b: r.raw for r in found}, {r.b: r.target for r in found}
-    spread = SMOOTHING * BUCKETS
-
-    def weight(b: int) -> int:
-        p = (target.get(b, 0) + SMOOTHING) / (total_target + spread)
-        return round(math.log(p / ((raw.get(b, 0) + SMOOTHING) / (total_raw + spread))) * 1e6)
-
-    return [weight(b) for b in range(BUCKETS)]
+    said = F.col("text")
+    rows = docs.select(docs[quoted(key)].alias("key"), docs[quoted(text)].alias("text"))
+    grams = rows.select("key", F.concat(word_buckets(plain_words(said)), form_buckets(said)).alias("grams"))
+    grams = grams.join(F.broadcast(trusted), F.col("key") == F.col("id"), "left").select("trusted", F.explode("grams").alias("b"))
+    found = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")).collect()
+    words = [r for r in found if r.b < WORD_BUCKETS]
+    raws, targets = sum(r.raw for r in words), sum(r.target for r in words)
+    weights = [0] * BUCKETS
+    for r in found if targets else []:
+        share = r.raw / raws
+        weights[r.b] = round(math.log((r.target + SMOOTHING * share) / (targets + SMOOTHING) / share) * 1e6)
+    return weights
+
+
+def _judged(docs: DataFrame, labels: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
+    weights = F.split(F.lit(",".join(map(str, fit_weights(docs, labels, key, text)))), ",").cast("array<long>")  # folded to one literal
+    out = _based(_rows(docs, text))
+    total = lambda buckets: F.aggregate(F.transform(buckets, lambda b: F.get(weights, b)), F.lit(0).cast("long"), lambda a, x: a + x)
+    out = out.withColumn("total", total(word_buckets(F.col("words"))) + total(form_buckets(F.col("text"))))
+    out = out.withColumn("score", F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("total") >= F.col("n_words") * threshold)).drop("words", "total")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """docs with the base columns, score (mean weight in millionths) and kept."""
-    weights = F.split(F.lit(",".join(map(str, fit_weights(docs, labels, key, text)))), ",").cast("array<long>")  # folded to one literal
-    out = base_columns(docs, text).withColumn("_g", shape_grams(F.col(text)))
-    total = F.aggregate(
-        F.transform(_paired("_g"), lambda g: F.get(weights, bucket(g))), F.lit(0).cast("long"), lambda a, x: a + x
-    )
-    out = out.withColumn("_sum", total).withColumn("score", F.when(F.col("n_words") > 0, F.col("_sum") / F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("_sum") >= F.col("n_words") * threshold)).drop("_g", "_sum")
+    """docs with the base columns, score (mean weight of a word in millionths) and kept."""
+    return _spread(_judged(docs, labels, key, text, threshold), docs, [*MEASURES, "score", "kept"])
 
 
-COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+COLUMNS = ["doc_id", *MEASURES, "kept"]
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,22 +160,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     would then be computed again for each of their uses.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality_rules(docs, labels).withColumn("_keep", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return judged.where("_keep").select(*docs.columns)
+    judged = _judged(docs, labels, "doc_id", "text", THRESHOLD)
+    return judged.withColumn("keep", F.col("kept") & (F.monotonically_increasing_id() >= 0)).where("keep").select("row.*")
 
 
 #: Grams and weights for DuckDB, for `docs` a table name.
 def _sql_parts(docs: str) -> str:
     blank = "regexp_replace(coalesce(text, ''), '[\\x09-\\x0D]', ' ', 'g')"
-    shaped = blank
-    for pattern, sign in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"[\p{Lo}\p{Lt}\p{Lm}]+", "o"), (r"[0-9]+", "9")):
-        shaped = f"regexp_replace({shaped}, '{pattern}', '{sign}', 'g')"
-    symbols = "".join(f"{c}" for c in SYMBOLS)
     return f"""
 base0 AS (
   SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t,
          list_filter(string_split({blank}, ' '), lambda x: x <> '') AS w,
-         list_filter(string_split({shaped}, ' '), lambda x: x <> '') AS g
+         list_filter(string_split(translate({blank}, '{SIGNS}', '{CLASSES}'), ' '), lambda x: x <> '') AS g
   FROM {docs}),
 wins AS (
   SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i+1], w[i+2], w[i+3], w[i+4]) AS c
@@ -162,27 +182,31 @@ covered AS (
 based AS (
   SELECT b.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
-         CAST(length(t) - length(translate(t, '{symbols}', '')) AS BIGINT) AS n_symbols,
+         CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
-         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, g
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM base0) b
   LEFT JOIN covered c ON c.rid = b.rid),
 failing AS (
   SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} AS base_failed FROM based),
 {CRC_TABLE},
-said AS (
-  SELECT rid, doc_id, CASE WHEN i = 1 THEN '^' ELSE g[i - 1] END || ' ' || g[i] AS gram
-  FROM (SELECT rid, doc_id, g, unnest(range(1, len(g) + 1)) AS i FROM base0)),
-hashed AS (SELECT gram, {crc32("gram")} & {BUCKETS - 1} AS b FROM (SELECT DISTINCT gram FROM said), crc_table),
-grams AS (SELECT rid, doc_id, b FROM said JOIN hashed USING (gram)),
+told AS (
+  SELECT rid, doc_id, i, w[i] AS word, left(g[i], 1) || right(g[i], 3) AS form
+  FROM (SELECT rid, doc_id, w, g, unnest(range(1, len(w) + 1)) AS i FROM base0)),
+codes AS (SELECT said, {crc32("said")} AS c FROM (SELECT DISTINCT word AS said FROM told UNION SELECT DISTINCT form FROM told), crc_table),
+coded AS (
+  SELECT rid, doc_id, x.c AS c, y.c AS f, coalesce(lag(y.c) OVER (PARTITION BY rid ORDER BY i), {START}) AS before
+  FROM told JOIN codes x ON x.said = word JOIN codes y ON y.said = form),
+grams AS (
+  SELECT rid, doc_id, c % {WORD_BUCKETS} AS b FROM coded
+  UNION ALL SELECT rid, doc_id, {WORD_BUCKETS} + (before * {FACTOR} + f) % {FORM_BUCKETS} FROM coded),
 trusted AS (
   SELECT DISTINCT doc_id AS tid FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0
   ORDER BY md5(CAST(tid AS VARCHAR)), tid LIMIT {TRUSTED_DOCS}),
 counted AS (SELECT b, count(*) AS raw, count(tid) AS target FROM grams LEFT JOIN trusted ON doc_id = tid GROUP BY b),
-totals AS (SELECT sum(raw) AS raws, sum(target) AS targets FROM counted),
+totals AS (SELECT sum(raw) AS raws, sum(target) AS targets FROM counted WHERE b < {WORD_BUCKETS}),
 weights AS (
-  SELECT b, CASE WHEN targets = 0 THEN 0 ELSE CAST(round_even(ln(((target + {SMOOTHING}) / (targets + {SMOOTHING * BUCKETS}))
-         / ((raw + {SMOOTHING}) / (raws + {SMOOTHING * BUCKETS}))) * 1e6, 0) AS BIGINT) END AS weight FROM counted, totals),
+  SELECT b, CASE WHEN targets = 0 THEN 0 ELSE CAST(round_even(ln((target + {SMOOTHING} * (raw / raws)) / (targets + {SMOOTHING}) / (raw / raws)) * 1e6, 0) AS BIGINT) END AS weight FROM counted, totals),
 summed AS (SELECT rid, sum(weight) AS s FROM grams JOIN weights USING (b) GROUP BY rid),
 judged AS (
   SELECT f.*, NOT base_failed AND coalesce(s, 0) >= n_words * ({THRESHOLD}) AS kept FROM failing f LEFT JOIN summed s ON s.rid = f.rid)"""

@@ -11,8 +11,8 @@ from tidemark.llm import jaccard, langid, media, mixing, pieces, pii, quality, s
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_family": suffixes.op1_suffix_family,
     "op2_raked_mixture": mixing.op2_raked_mixture,
+    "op2_marginals": mixing.op2_marginals,
     "op3_parity_join": jaccard.op3_parity_join,
-    "op3_parity_links": jaccard.op3_parity_links,
     "op4_piece_codec": pieces.op4_piece_codec,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_language_filters": langid.op6_language_filters,
@@ -25,8 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_family": suffixes.SQL,
     "op2_raked_mixture": mixing.SQL,
+    "op2_marginals": mixing.MARGINALS_SQL,
     "op3_parity_join": jaccard.SQL,
-    "op3_parity_links": jaccard.LINKS_SQL,
     "op5_quality_rules": quality.SQL,
     "op9_jump_shards": sharding.SQL,
 }

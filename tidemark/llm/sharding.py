@@ -3,25 +3,25 @@
 Native: DataFrame functions only. The 64-bit generator of the paper is kept as two 32-bit
 halves in longs, since a plain product would overflow under ANSI rules.
 
-Defined cases: a null key hashes as 0 and goes to the shard of key 0; a null text has size 16
-and CRC 0; equal keys share a shard and take neighbouring slots, ordered by size and CRC;
-an empty table gives an empty table; other columns of the input are ignored.
+Defined cases: a key of whole numbers hashes as itself, any other by the 64-bit hash of its text; a
+null key hashes as 0 and goes to the shard of key 0; a null text has size 16 and CRC 0; equal keys
+share a shard and take neighbouring slots, ordered by size and CRC; an empty table gives an empty
+table; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import documents, written
+from tidemark.llm.common import discard, documents, quoted, written
 from tidemark.llm.sql import CRC_TABLE, crc32
 
 #: Fixed value: multiplier of the paper's generator, as 16-bit limbs from the lowest.
 MULTIPLIER = 2862933555777941757
 LIMBS = [(MULTIPLIER >> (16 * i)) & 0xFFFF for i in range(4)]
 LOW = 0xFFFFFFFF
-#: Keys per block when slots are counted; a block is what one sort handles.
-BLOCK_KEYS = 65536
 
 
 def _advance(state: Column) -> tuple[Column, Column]:
@@ -71,29 +71,31 @@ def jump_shards(key: Column, counts: list[int]) -> Column:
 def shard_table(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's shard among `shards`, its gapless slot there, and its shard if one more is appended.
 
-    The text is read once, for size and CRC. Slots need counts of all earlier rows of a shard:
-    a shard is cut into blocks of BLOCK_KEYS neighbouring keys, the counts of blocks are summed
-    up, and rows are only sorted within a block, so no task holds a shard.
+    The text is read once, for size and CRC. Rows are dealt out by sampled ranges of (shard, key,
+    size, CRC, place in the table), so no key, shard or spread of keys makes a task larger than others,
+    and sorted within. A row's slot is its place in its range, after the rows that earlier ranges have
+    of its shard; these counts are as many as ranges and shards together.
     """
-    raw = F.encode(F.col(text), "UTF-8")
+    raw = F.encode(docs[quoted(text)], "UTF-8")
+    whole = isinstance(docs.schema[key].dataType, T.IntegralType)
     rows = docs.select(
-        F.col(key).alias("doc_id"),
+        docs[quoted(key)].alias("doc_id"),
         (F.coalesce(F.length(raw), F.lit(0)) + 16).cast("long").alias("size"),
         F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
-        jump_shards(F.col(key), [shards, shards + 1]).alias("to"),
-    ).select("doc_id", "size", "text_crc32", F.col("to.s0").alias("shard"), F.col("to.s1").alias("grown_shard"))
-    rows = written(rows, "shards").withColumn("block", F.shiftright(F.col("doc_id"), BLOCK_KEYS.bit_length() - 1))
-    counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy(F.asc_nulls_first("block")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col("shard").alias("in_shard"), F.col("block").alias("in_block"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
-    )
-    placed = rows.join(starts, (F.col("shard") == F.col("in_shard")) & F.col("block").eqNullSafe(F.col("in_block")))
-    within = Window.partitionBy("shard", "block").orderBy(F.asc_nulls_first("doc_id"), "size", "text_crc32")
-    return placed.select(
+        jump_shards(docs[quoted(key)] if whole else F.when(docs[quoted(key)].isNotNull(), F.xxhash64(docs[quoted(key)].cast("string"))), [shards, shards + 1]).alias("to"),
+    ).select("doc_id", "size", "text_crc32", F.col("to.s0").alias("shard"), F.col("to.s1").alias("grown_shard"), F.monotonically_increasing_id().alias("place"))
+    rows = written(rows, "shards")
+    order = [F.col("shard"), F.asc_nulls_first("doc_id"), F.col("size"), F.col("text_crc32"), F.col("place")]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("place")
+    ranged = written(ranged.withColumn("at", F.monotonically_increasing_id()), "ranges")  # range and place in it hold from here on
+    discard(rows)
+    ranged = ranged.withColumn("range", F.shiftright("at", 33))
+    counts = ranged.groupBy("shard", "range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "range", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return ranged.join(F.broadcast(starts), ["shard", "range"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("start") + F.row_number().over(within) - 1).cast("long").alias("slot"), "grown_shard",
+        (F.col("start") + F.col("at") - F.col("first")).cast("long").alias("slot"), "grown_shard",
     )
 
 
