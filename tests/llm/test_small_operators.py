@@ -160,7 +160,7 @@ def test_like_texts_score_nought_whatever_is_trusted(spark, frame, prose):
 
 
 def test_words_count(spark, frame, prose):
-    """Lists of other ordinary words in the same forms score lower than texts of the trusted words."""
+    """Lists of other ordinary lower-case words score lower than texts of the trusted words."""
     other = lambda i: prose(200, i).translate(str.maketrans("aeiouthn", "xqzjkwvb"))
     docs = frame([(i, prose(200, i)) for i in range(40)] + [(100 + i, other(i)) for i in range(10)])
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")

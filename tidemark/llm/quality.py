@@ -3,10 +3,8 @@
 Native: DataFrame functions only, no shuffle of texts. A document's score is the mean over its words
 of log(p_target / p_raw), with multinomials over hashed n-grams, from trusted labelled documents and
 from all documents (Xie et al., "Data Selection for Language Models via Importance Resampling",
-2023). Two families of n-grams are summed: the words themselves, in WORD_BUCKETS, and pairs of
-neighbouring words' forms, in FORM_BUCKETS. A form is a word's first character and its last three, with
-Latin letters as a or A and digits as 9; so a word that was never seen still has a likely or unlikely
-form. The target is smoothed towards the raw share by SMOOTHING words: a bucket that no trusted
+2023). Two families of n-grams are summed: the words themselves, in WORD_BUCKETS, and their last three
+characters, in END_BUCKETS; so a word that was never seen still has a likely or unlikely ending. The target is smoothed towards the raw share by SMOOTHING words: a bucket that no trusted
 document has fallen into weighs more the more trusted words there are, and texts that are like all
 others score about 0 whatever the size of the target. Weights are whole millionths, so sums don't
 depend on the order of addition.
@@ -28,10 +26,8 @@ from tidemark.llm.common import documents, evenly_spaced, kept_whole, plain_word
 from tidemark.llm.sql import CRC_TABLE, crc32
 
 #: Primes, so that all bits of a word's CRC-32 count.
-WORD_BUCKETS, FORM_BUCKETS = 16_381, 4_093
-BUCKETS = WORD_BUCKETS + FORM_BUCKETS
-#: The factor that tells the first of a pair from the second, and what stands before the first word.
-FACTOR, START = 1_000_003, 7
+WORD_BUCKETS, END_BUCKETS = 16_381, 4_093
+BUCKETS = WORD_BUCKETS + END_BUCKETS
 #: Words by which the target is smoothed towards the raw share.
 SMOOTHING = 10_000
 #: At most so many trusted documents, those with the smallest md5 of their id, fit the target.
@@ -42,10 +38,6 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-#: Latin letters that count as a, and their capitals as A.
-SMALL = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
-SIGNS = SMALL + "ß" + SMALL.upper() + "0123456789"
-CLASSES = "a" * (len(SMALL) + 1) + "A" * len(SMALL) + "9" * 10
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -89,19 +81,13 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     return _spread(_based(_rows(docs, text)), docs, MEASURES)
 
 
-def word_buckets(words: Column) -> Column:
-    return F.transform(words, lambda w: (F.crc32(w.cast("binary")) % WORD_BUCKETS).cast("int"))
+def word_bucket(word: Column) -> Column:
+    return (F.crc32(word.cast("binary")) % WORD_BUCKETS).cast("int")
 
 
-def form_buckets(text: Column) -> Column:
-    """Bucket of each word's form after the form of the word before; form buckets come after word buckets."""
-    forms = plain_words(F.translate(F.coalesce(text, F.lit("")), SIGNS, CLASSES))
-    codes = F.transform(forms, lambda w: F.crc32(F.concat(F.substring(w, 1, 1), F.substring(w, -3, 3)).cast("binary")))
-
-    def paired(held: Column) -> Column:
-        return F.transform(held, lambda c, i: (F.lit(WORD_BUCKETS) + (F.coalesce(F.get(held, i - 1), F.lit(START).cast("long")) * FACTOR + c) % FORM_BUCKETS).cast("int"))
-
-    return F.transform(F.array(codes), paired)[0]
+def end_bucket(word: Column) -> Column:
+    """Bucket of a word's last three characters; these come after the words' own."""
+    return (F.crc32(F.substring(word, -3, 3).cast("binary")) % END_BUCKETS + WORD_BUCKETS).cast("int")
 
 
 def fit_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", trusted_docs: int = TRUSTED_DOCS) -> list[int]:
@@ -116,10 +102,9 @@ def fit_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
         .orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(trusted_docs)
         .withColumn("trusted", F.lit(1))
     )
-    said = F.col("text")
     rows = docs.select(docs[quoted(key)].alias("key"), docs[quoted(text)].alias("text"))
-    grams = rows.select("key", F.concat(word_buckets(plain_words(said)), form_buckets(said)).alias("grams"))
-    grams = grams.join(F.broadcast(trusted), F.col("key") == F.col("id"), "left").select("trusted", F.explode("grams").alias("b"))
+    words = rows.join(F.broadcast(trusted), F.col("key") == F.col("id"), "left").select("trusted", F.explode(plain_words(F.col("text"))).alias("w"))
+    grams = words.select("trusted", F.explode(F.array(word_bucket(F.col("w")), end_bucket(F.col("w")))).alias("b"))
     found = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")).collect()
     words = [r for r in found if r.b < WORD_BUCKETS]
     raws, targets = sum(r.raw for r in words), sum(r.target for r in words)
@@ -133,8 +118,7 @@ def fit_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 def _judged(docs: DataFrame, labels: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
     weights = F.split(F.lit(",".join(map(str, fit_weights(docs, labels, key, text)))), ",").cast("array<long>")  # folded to one literal
     out = _based(_rows(docs, text))
-    total = lambda buckets: F.aggregate(F.transform(buckets, lambda b: F.get(weights, b)), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = out.withColumn("total", total(word_buckets(F.col("words"))) + total(form_buckets(F.col("text"))))
+    out = out.withColumn("total", F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.get(weights, word_bucket(w)) + F.get(weights, end_bucket(w))))
     out = out.withColumn("score", F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("total") >= F.col("n_words") * threshold)).drop("words", "total")
 
@@ -170,8 +154,7 @@ def _sql_parts(docs: str) -> str:
     return f"""
 base0 AS (
   SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t,
-         list_filter(string_split({blank}, ' '), lambda x: x <> '') AS w,
-         list_filter(string_split(translate({blank}, '{SIGNS}', '{CLASSES}'), ' '), lambda x: x <> '') AS g
+         list_filter(string_split({blank}, ' '), lambda x: x <> '') AS w
   FROM {docs}),
 wins AS (
   SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i+1], w[i+2], w[i+3], w[i+4]) AS c
@@ -190,16 +173,11 @@ based AS (
 failing AS (
   SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} AS base_failed FROM based),
 {CRC_TABLE},
-told AS (
-  SELECT rid, doc_id, i, w[i] AS word, left(g[i], 1) || right(g[i], 3) AS form
-  FROM (SELECT rid, doc_id, w, g, unnest(range(1, len(w) + 1)) AS i FROM base0)),
-codes AS (SELECT said, {crc32("said")} AS c FROM (SELECT DISTINCT word AS said FROM told UNION SELECT DISTINCT form FROM told), crc_table),
-coded AS (
-  SELECT rid, doc_id, x.c AS c, y.c AS f, coalesce(lag(y.c) OVER (PARTITION BY rid ORDER BY i), {START}) AS before
-  FROM told JOIN codes x ON x.said = word JOIN codes y ON y.said = form),
+told AS (SELECT rid, doc_id, unnest(w) AS word FROM base0),
+codes AS (SELECT said, {crc32("said")} AS c FROM (SELECT DISTINCT word AS said FROM told UNION SELECT DISTINCT right(word, 3) FROM told), crc_table),
 grams AS (
-  SELECT rid, doc_id, c % {WORD_BUCKETS} AS b FROM coded
-  UNION ALL SELECT rid, doc_id, {WORD_BUCKETS} + (before * {FACTOR} + f) % {FORM_BUCKETS} FROM coded),
+  SELECT rid, doc_id, c % {WORD_BUCKETS} AS b FROM told JOIN codes ON said = word
+  UNION ALL SELECT rid, doc_id, {WORD_BUCKETS} + c % {END_BUCKETS} FROM told JOIN codes ON said = right(word, 3)),
 trusted AS (
   SELECT DISTINCT doc_id AS tid FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0
   ORDER BY md5(CAST(tid AS VARCHAR)), tid LIMIT {TRUSTED_DOCS}),
