@@ -26,7 +26,7 @@ def test_filters_reach_both_scans(spark):
 
 def test_gaps_are_filled_for_all_users(spark):
     users = {r[0] for r in spark.read.parquet(f"{DATA}/events.parquet").select("user_id").distinct().collect()}
-    assert {r.user_id for r in catalogue.QUERIES["q_fill_gaps_all"](spark, DATA).collect()} == users
+    assert {r.user_id for r in catalogue.QUERIES["q_fill_gaps"](spark, DATA).collect()} == users
 
 
 def test_null_ranks_are_of_the_newest_versions(spark):
@@ -36,7 +36,7 @@ def test_null_ranks_are_of_the_newest_versions(spark):
     for r in rows:
         order = (r.available_at, r.version_rank, r.value_cents % 2 != 0, r.source_checksum)
         newest[r.fact_id] = max(newest.get(r.fact_id, (order, r.value_cents)), (order, r.value_cents))
-    got = {r.fact_id: (r.available_at, r.version_rank, r.value_cents) for r in catalogue.QUERIES["q_null_rank_all"](spark, DATA).collect()}
+    got = {r.fact_id: (r.available_at, r.version_rank, r.value_cents) for r in catalogue.QUERIES["q_null_rank_release"](spark, DATA).collect()}
     assert got == {k: (o[0], o[1], v) for k, (o, v) in newest.items()}
 
 
@@ -49,7 +49,7 @@ def test_equal_ranks_without_a_checksum_are_settled(spark):
 
 def test_titles_of_all_documents_are_matched(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    assert catalogue.QUERIES["q_title_all"](spark, DATA).count() == docs.count()
+    assert catalogue.QUERIES["q_title_normalise"](spark, DATA).count() == docs.count()
 
 
 def test_marks_between_digits_agree_with_sql(spark, tmp_path):
@@ -59,12 +59,12 @@ def test_marks_between_digits_agree_with_sql(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    got = sorted(map(tuple, catalogue.QUERIES["q_title_all"](spark, str(tmp_path)).collect()))
-    assert got == sorted(con.execute(catalogue.ORACLE_SQL["q_title_all"]).fetchall()) and got[1][1] == "a b 1|2.5.6|7"
+    got = sorted(map(tuple, catalogue.QUERIES["q_title_normalise"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(catalogue.ORACLE_SQL["q_title_normalise"]).fetchall()) and got[1][1] == "a b 1|2.5.6|7"
 
 
 def test_aliases_of_all_owners_are_resolved(spark):
     held = facts.validity(spark, DATA).collect()
-    got = catalogue.QUERIES["q_alias_all"](spark, DATA).collect()
+    got = catalogue.QUERIES["q_alias_resolution"](spark, DATA).collect()
     assert {r.symbol for r in got} == {f"{r.alias}#{r.instrument_id // 10}" for r in held}
     assert {r.status for r in got} == {"ambiguous", "resolved", "inactive"}

@@ -8,7 +8,7 @@ from tidemark import schemas
 from tidemark.store import FactStore, item_page
 
 T = lambda d, h=0: dt.datetime(2024, 1, d, h)
-SOURCE = ("p1", "r", None, T(1), None, "c")
+SOURCE = ("p1", "r", None, None, None, T(1), None, "c")
 
 
 def lit(ts):
@@ -71,3 +71,42 @@ def test_context_is_repeatable_and_covers_all_cells(spark, store):
         assert one[name].where(F.col("available_at") > lit(T(4, 12))).count() == 0
     page = item_page(one["bars"], 2)
     assert len(page["items"]) == 2 and page["has_more"] and page["next_offset"] == 2
+
+
+def test_a_page_rewrites_only_its_buckets(spark, store):
+    """Appends add files to the buckets of a page's keys; in-place merges rewrite those alone; many files become one."""
+    series = lambda *ids: rows(spark, "macro_series", *[{"series_id": i, "name": i, "region": "US"} for i in ids])
+    store.upsert_last("macro_series", series(*[f"s{k}" for k in range(60)]))
+    before = {(r.bucket, r.path) for r in store._files() if r.name == "macro_series"}
+    store.upsert_last("macro_series", series("s1"))
+    after = {(r.bucket, r.path) for r in store._files() if r.name == "macro_series"}
+    assert len(before) > 8 and len(before - after) == len(after - before) == 1 and store.table("macro_series").count() == 60
+    for k in range(11):
+        store.upsert_macro_observations(rows(spark, "macro_observations", {"observation_id": f"o{k}", "series_id": "s", "period_end": dt.date(2024, 1, 1 + k), "vintage_id": "v", "available_at": T(2)}))
+    files = [r for r in store._files() if r.name == "macro_observations"]
+    assert len(files) <= 9 and store.table("macro_observations").count() == 11
+    assert store.keyed("macro_observations", ["s"]).count() == 11 and len(store.keyed("macro_series", ["s1"]).inputFiles()) < 3
+
+
+def test_missing_checksums_and_replays(spark, store):
+    """A missing checksum is a value: it is noted once, and a change from or to it is a revision."""
+    for checksum in (None, None, "A", None, None):
+        store.upsert_bars(rows(spark, "bars", bar("b", 2, 1, checksum, T(3 + (checksum is None)))))
+    assert [r.source_checksum for r in store.table("bars").collect()] == [None]
+    release = lambda c: rows(spark, "macro_releases", {"release_id": "r", "region": "US", "series_id": "s", "scheduled_at": T(10), "available_at": T(1), "source_checksum": c})
+    for c in (None, "A", None, "A", None):
+        store.upsert("macro_releases", release(c))
+    assert store.table("macro_releases").count() == 1 and [r.source_checksum for r in store.table("release_revisions").collect()] == ["A"]
+    assert store.table("macro_series").count() == 1  # derived from the release
+
+
+def test_of_two_writers_one_gets_a_conflict(spark, store):
+    from tidemark.manifest import Conflict
+
+    news = lambda i: rows(spark, "news", {"news_id": i, "regions": ["CN"], "title": "t", "published_at": T(4), "available_at": T(4)})
+    store.insert_news(news("a"))
+    after, files, page, touched = store._page("news", news("b"))
+    store.insert_news(news("c"))
+    with pytest.raises(Conflict):
+        store._commit(files, after, [("news", page, False)])
+    assert sorted(r.news_id for r in store.table("news").collect()) == ["a", "c"]

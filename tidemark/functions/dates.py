@@ -67,6 +67,11 @@ def trading_days(days: DataFrame, day: str, holidays: DataFrame | None = None) -
     return found if holidays is None else found.join(holidays.select(F.col("day").alias(day)), day, "left_anti")
 
 
+def utc_now() -> Column:
+    """The moment of the query, one for all rows."""
+    return F.current_timestamp()
+
+
 def us_calendar(spark: SparkSession) -> DataFrame:
     """day, status (regular, early_close, closed), open_at and close_at of the known years."""
     first, last = f"{US_YEARS[0]}-01-01", f"{US_YEARS[-1]}-12-31"
@@ -91,18 +96,18 @@ def session_windows(df: DataFrame, day: str, calendar: DataFrame) -> DataFrame:
 
 
 def previous_session(df: DataFrame, day: str, sessions: DataFrame) -> DataFrame:
-    """df with the last session (column day of `sessions`) strictly before its day.
+    """df with the last session (column day of `sessions`) strictly before its day, as previous_session.
 
-    Neighbouring sessions make half-open ranges, so each day meets one range by an equal join on the
-    sessions' months and a check of the range.
+    Distinct sessions are a calendar, at most one for each day. Each stands for the days up to the next
+    one, so a day meets its session by an equal join; days after the last session meet the last.
     """
-    from pyspark.sql import Window
-
-    ordered = sessions.select(F.col("day").alias("_s")).distinct()
-    following = F.lead("_s").over(Window.orderBy("_s"))  # sessions are a small dimension
-    ranges = ordered.withColumn("_next", F.coalesce(following, F.lit("9999-12-31").cast("date")))
-    met = df.join(F.broadcast(ranges), (F.col(day) > F.col("_s")) & (F.col(day) <= F.col("_next")), "left")
-    return met.withColumnRenamed("_s", "previous_session").drop("_next")
+    held = sessions.select(F.col("day").alias("d")).distinct().agg(F.array_sort(F.collect_list("d")).alias("days"), F.max("d").alias("_last"))
+    spans = held.select("_last", F.explode(F.transform("days", lambda d, i: F.struct(d.alias("s"), F.coalesce(F.get("days", i + 1), F.date_add(d, 1)).alias("upto")))).alias("x"))
+    days = spans.select("_last", F.col("x.s").alias("_s"), F.explode(F.sequence(F.date_add("x.s", 1), F.col("x.upto"))).alias("_day"))
+    last = days.agg(F.max("_last").alias("_last"))
+    met = df.join(days.drop("_last"), F.col(day) == F.col("_day"), "left").crossJoin(F.broadcast(last))  # one row
+    found = F.coalesce(F.col("_s"), F.when(F.col(day) > F.col("_last"), F.col("_last")))
+    return met.withColumn("previous_session", found).drop("_s", "_day", "_last")
 
 
 def instant_or_day_window(instant: Column, day: Column, start: Column, end: Column, zone: str = "UTC") -> Column:

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import base64
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Exchange names and their MIC.
 US_MICS = {
@@ -109,11 +104,30 @@ def us_instrument_id(first_symbol: Column, first_day: Column) -> Column:
     return F.concat(F.lit("ins_us_"), F.substring(F.sha2(F.concat(canonical_symbol(first_symbol), first_day.cast("string")), 256), 1, 16))
 
 
-@F.pandas_udf(T.StringType())
-def instrument_id(region: pd.Series, key: pd.Series) -> pd.Series:
-    """ins_ and 26 characters of the lower-case base32 SHA-256 of region|key; Spark has no base32."""
-    token = lambda r, k: base64.b32encode(hashlib.sha256(f"{r}|{k}".encode()).digest()).decode().lower()[:26]
-    return pd.Series([None if r is None or k is None else f"ins_{token(r, k)}" for r, k in zip(region, key, strict=True)])
+#: The digits of lower-case base32.
+BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
+
+
+def instrument_id(region: Column, key: Column) -> Column:
+    """ins_ and 26 characters of the lower-case base32 SHA-256 of region|key, cut from the hash by fives of bits."""
+    said = F.sha2(F.concat(region, F.lit("|"), key), 256)
+    signs = []
+    for n in range(26):
+        first = 5 * n // 4  # the hexadecimal digit in which the five bits begin
+        two = F.conv(F.substring(said, first + 1, 2), 16, 10).cast("int")
+        place = F.shiftright(two, 3 - 5 * n % 4).bitwiseAND(31)
+        signs.append(F.substring(F.lit(BASE32), place + 1, F.lit(1)))
+    return F.concat(F.lit("ins_"), *signs)
+
+
+def us_alias(symbol: Column, exchange: Column, first_symbol: Column, first_day: Column, valid_from: Column, valid_to: Column) -> Column:
+    """Struct of an alias: its symbol as it came and as it counts, the instrument's id, its days and what is wrong with it."""
+    own = us_symbol(symbol, exchange)
+    issue = F.coalesce(own["issue"], F.when(canonical_symbol(first_symbol).isNull(), "malformed_first_symbol").when(valid_to <= valid_from, "empty_range"))
+    return F.struct(
+        F.trim(symbol).alias("source_symbol"), own["venue"].alias("venue_mic"), own["code"].alias("local_symbol"), own["canonical"].alias("canonical_symbol"),
+        us_instrument_id(first_symbol, first_day).alias("instrument_id"), valid_from.alias("valid_from"), valid_to.alias("valid_to"), issue.alias("issue"),
+    )
 
 
 def days_overlap(left_from: Column, left_to: Column, right_from: Column, right_to: Column) -> Column:

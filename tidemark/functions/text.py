@@ -111,8 +111,20 @@ def _walk(value: object, visit) -> None:
             _walk(v, visit)
 
 
+def _loaded(text: str | None) -> tuple[object, bool]:
+    """A JSON text's value, and whether it can be read."""
+    try:
+        return json.loads(text or "null"), True
+    except (ValueError, RecursionError):
+        return None, False
+
+
+#: What stands for a payload that can't be read: nothing of it is shown.
+UNREADABLE = '{"unreadable":true}'
+
+
 def redacted(payload: Column, secret_keys: tuple[str, ...] = ("token", "secret", "password", "api_key", "authorization")) -> Column:
-    """A JSON payload with the values of secret keys replaced, at any depth."""
+    """A JSON payload with the values of secret keys replaced, at any depth; one that can't be read becomes UNREADABLE."""
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
@@ -121,19 +133,23 @@ def redacted(payload: Column, secret_keys: tuple[str, ...] = ("token", "secret",
                 return {k: "[redacted]" if any(s in k.lower() for s in secret_keys) else clean(x) for k, x in v.items()}
             return [clean(x) for x in v] if isinstance(v, list) else v
 
-        return texts.map(lambda t: None if t is None else json.dumps(clean(json.loads(t)), ensure_ascii=False, sort_keys=True))
+        def one(text: str | None) -> str | None:
+            value, good = _loaded(text)
+            return None if text is None else json.dumps(clean(value), ensure_ascii=False, sort_keys=True) if good else UNREADABLE
+
+        return texts.map(one)
 
     return run(payload)
 
 
 def nested_values(payload: Column, keys: tuple[str, ...] = ("fact_ids", "source_ref_ids")) -> Column:
-    """Sorted distinct texts under the given keys of a JSON payload, at any depth."""
+    """Sorted distinct texts under the given keys of a JSON payload, at any depth; none of one that can't be read."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> list[str]:
             found: set[str] = set()
-            _walk(json.loads(text or "null"), lambda k, v: found.update(x for x in (v if isinstance(v, list) else [v]) if isinstance(x, str)) if k in keys else None)
+            _walk(_loaded(text)[0], lambda k, v: found.update(x for x in (v if isinstance(v, list) else [v]) if isinstance(x, str)) if k in keys else None)
             return sorted(found)
 
         return texts.map(one)
@@ -142,15 +158,33 @@ def nested_values(payload: Column, keys: tuple[str, ...] = ("fact_ids", "source_
 
 
 def forbidden_keys(payload: Column, keys: tuple[str, ...]) -> Column:
-    """Sorted keys of a JSON payload, at any depth, that are among the forbidden."""
+    """Sorted keys of a JSON payload, at any depth, that are among the forbidden; a payload that can't be read is all forbidden."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> list[str]:
-            found: set[str] = set()
-            _walk(json.loads(text or "null"), lambda k, _: found.add(k) if k.lower() in keys else None)
+            value, good = _loaded(text)
+            found: set[str] = set() if good else {"*"}
+            _walk(value, lambda k, _: found.add(k) if k.lower() in keys else None)
             return sorted(found)
 
         return texts.map(one)
 
     return run(payload)
+
+
+def error_class(message: Column) -> Column:
+    """What became of a sending, by its error's text: uncertain if it may have arrived, retryable, else failed."""
+    said = F.lower(F.coalesce(message, F.lit("")))
+    return F.when(said.rlike("timeout|timed out|connection reset|broken pipe"), "uncertain").when(said.rlike("rate limit|429|unavailable|50[0234]"), "retry_wait").otherwise("failed")
+
+
+def source_line(name: Column, url: Column) -> Column:
+    """How a source is shown: its name, and its host if it has an address."""
+    host = F.regexp_extract(F.coalesce(url, F.lit("")), "^[a-zA-Z]+://([^/?#]*)", 1)
+    return F.concat(F.trim(name), F.when(host != "", F.concat(F.lit(" ("), F.lower(host), F.lit(")"))).otherwise(""))
+
+
+def json_field(payload: Column, *path: str) -> Column:
+    """A field of a JSON payload, as text; absent fields and payloads that can't be read give null."""
+    return F.get_json_object(payload, "$." + ".".join(path))

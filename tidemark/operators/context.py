@@ -37,3 +37,9 @@ def fingerprint(parts: dict[str, DataFrame], as_of: Column) -> DataFrame:
         sums = one if sums is None else sums.unionByName(one)
     said = F.concat_ws(":", "part", F.col("n").cast("string"), *[F.coalesce(F.col(f"s{k}").cast("string"), F.lit("")) for k in range(4)])
     return sums.agg(F.array_join(F.array_sort(F.collect_list(said)), ";").alias("body")).select(F.sha2(F.concat(F.col("body"), as_of.cast("string")), 256).alias("fingerprint"))
+
+
+def marks(rows: DataFrame, by: str, said: str) -> DataFrame:
+    """Number of facts of each group, and a hash of their sorted texts; a group's texts are gathered, so groups must be bounded."""
+    found = rows.groupBy(by).agg(F.count("*").alias("facts"), F.array_join(F.array_sort(F.collect_list(said)), "|").alias("_body"))
+    return found.select(by, "facts", F.md5(F.col("_body").cast("binary")).alias("mark"))

@@ -86,10 +86,22 @@ def resolve_aliases(requests: DataFrame, aliases: DataFrame, keys: list[str], da
     return found.select(*requests.columns, F.when(status == "resolved", F.col("_one")).alias(owner), status.alias("status"))
 
 
+def overlap_groups(aliases: DataFrame, keys: list[str], owner: str = "instrument_id") -> DataFrame:
+    """aliases with `overlap`: of one alias, ranges that overlap directly or through others share a number.
+
+    A sort for each alias and the running maximum of ends; a range without an end goes on for ever.
+    """
+    far = F.lit("9999-12-31").cast("date")
+    by = Window.partitionBy(*keys).orderBy("valid_from", F.col(owner), F.coalesce("valid_to", far))
+    reach = F.max(F.coalesce("valid_to", far)).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    return aliases.withColumn("_new", F.when(F.col("valid_from") < reach, 0).otherwise(1)).withColumn("overlap", F.sum("_new").over(by)).drop("_new")
+
+
 def alias_conflicts(aliases: DataFrame, keys: list[str], owner: str = "instrument_id") -> DataFrame:
-    """Pairs of owners that hold the same alias on overlapping days."""
-    side = lambda n: aliases.select(*keys, F.col(owner).alias(f"{n}_owner"), F.col("valid_from").alias(f"{n}_from"), F.col("valid_to").alias(f"{n}_to"))
-    met = side("left").join(side("right"), keys)
+    """Pairs of owners that hold the same alias on overlapping days. Only ranges of one group of overlaps meet."""
+    grouped = overlap_groups(aliases, keys, owner)
+    side = lambda n: grouped.select(*keys, "overlap", F.col(owner).alias(f"{n}_owner"), F.col("valid_from").alias(f"{n}_from"), F.col("valid_to").alias(f"{n}_to"))
+    met = side("left").join(side("right"), [*keys, "overlap"]).drop("overlap")
     clash = days_overlap(F.col("left_from"), F.col("left_to"), F.col("right_from"), F.col("right_to"))
     return met.where((F.col("left_owner") < F.col("right_owner")) & clash)
 
@@ -114,3 +126,13 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, ids:
     by = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     filled = marked.unionByName(asked).withColumn(value, F.last(value, ignorenulls=True).over(by))
     return filled.where("_side = 1").select(*keys, at, *ids, value)
+
+
+def with_version_before(facts: DataFrame, versions: DataFrame, keys: list[str], cutoff: Column, available: str = "available_at") -> DataFrame:
+    """Facts of which some version was available at the cutoff."""
+    return facts.join(versions.where(F.col(available) <= cutoff), keys, "left_semi")
+
+
+def has_version_before(selected: DataFrame, versions: DataFrame, keys: list[str], cutoff: Column, available: str = "available_at") -> bool:
+    """Whether any of the selected versions, by their keys, was available at the cutoff; one row is looked for."""
+    return not with_version_before(selected, versions, keys, cutoff, available).limit(1).isEmpty()

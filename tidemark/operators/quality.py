@@ -102,3 +102,9 @@ def ids_match_facts(ids: Column, facts: Column) -> Column:
     """The listed ids are distinct, and the same as the facts' ids."""
     own = F.transform(facts, lambda f: f["fact_id"])
     return (F.size(ids) > 0) & (F.size(F.array_distinct(ids)) == F.size(ids)) & (F.size(ids) == F.size(own)) & (F.size(F.array_except(ids, own)) == 0) & (F.size(F.array_except(own, ids)) == 0)
+
+
+def worst_of(rows: DataFrame, by: list[str], status: str = "status", order: tuple[str, ...] = ("passed", "degraded", "retryable", "blocked")) -> DataFrame:
+    """The worst status of each group, in an order from good to bad; an unknown status counts as the first."""
+    place = F.greatest(F.array_position(F.array(*[F.lit(x) for x in order]), F.col(status)) - 1, F.lit(0))
+    return rows.groupBy(*by).agg(F.max(place.cast("int")).alias("_worst")).select(*by, F.get(F.array(*[F.lit(x) for x in order]), F.col("_worst")).alias(status))

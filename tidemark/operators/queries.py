@@ -128,3 +128,46 @@ def cap_clusters(news: DataFrame, k: int, cluster: str = "cluster_id", key: str
 
 def capabilities(providers: DataFrame, regions: list[str]) -> DataFrame:
     return providers.where(F.arrays_overlap("regions", F.array(*[F.lit(r) for r in regions])))
+
+
+def visible(rows: DataFrame, as_of: Column, context_as_of: Column, available: str = "available_at") -> DataFrame:
+    """Rows known at both clocks: the query's and the caller's."""
+    return rows.where(F.col(available) <= F.least(as_of, context_as_of))
+
+
+def originals_only(news: DataFrame, replaces: str = "supersedes_news_id") -> DataFrame:
+    """A provider's view: corrections fall out and originals stay, the reverse of without_superseded."""
+    return news.where(F.col(replaces).isNull())
+
+
+#: Orders of a US provider's pages, by dataset.
+PROVIDER_ORDER = {
+    "instruments": ["canonical_symbol", "valid_from", "instrument_id"], "bars": ["bar_end", "instrument_id", "bar_id"], "market_observations": ["observed_at", "observation_id"],
+    "macro_observations": ["period_end", "series_id", "available_at"], "macro_releases": ["scheduled_at", "release_id"], "macro_series": ["series_id"], "news": ["published_at", "news_id"],
+}
+
+
+def provider_rows(rows: DataFrame, dataset: str, as_of: Column, context_as_of: Column, start: Column | None = None, end: Column | None = None, keys=None, policy: str | None = None, entities=None, topics=None) -> DataFrame:
+    """A US provider's rows of a dataset: both clocks, its window, its filters, its revision choice and its order.
+
+    Bars must be daily and raw; releases and news have instants only; news comes newest first, without full text.
+    """
+    known = visible(rows, as_of, context_as_of) if "available_at" in rows.columns else rows.where(F.col("source.retrieved_at") <= F.least(as_of, context_as_of))
+    window = {"bars": "bar_start", "market_observations": "observed_at", "macro_observations": "period_end", "macro_releases": "scheduled_at", "news": "published_at"}.get(dataset)
+    if dataset == "bars":
+        known = known.where((F.col("interval") == "1d") & (F.col("adjustment") == "raw"))
+    if window and start is not None:
+        last = F.col(window) <= end if dataset == "macro_observations" else F.col(window) < end
+        known = known.where((F.col(window) >= start) & last)
+    key = {"bars": "instrument_id", "instruments": "instrument_id", "market_observations": "metric_code", "news": None}.get(dataset, "series_id")
+    known = known if key is None else _among(known, key, keys)
+    texts = lambda values: F.array(*[F.lit(v) for v in sorted(values)])
+    if entities:
+        known = known.where(F.arrays_overlap(F.transform("entities", lambda e: e["entity_id"]), texts(entities)))
+    if topics:
+        known = known.where(F.arrays_overlap("topics", texts(topics)))
+    if policy:
+        known = revision_policy(known, ["series_id", "period_end"], policy, as_of, "revision")
+    if dataset == "news":
+        return trim_content(known, "snippet").orderBy(*[F.col(c).desc() for c in PROVIDER_ORDER["news"]])
+    return known.orderBy(*PROVIDER_ORDER[dataset])

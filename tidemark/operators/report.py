@@ -91,3 +91,9 @@ def capacity_level(used: Column, total: Column) -> Column:
     """ok, warning from 80 %, critical from 90 %, unavailable without a size."""
     share = used / total
     return F.when(total.isNull() | (total <= 0) | used.isNull(), "unavailable").when(share >= 0.9, "critical").when(share >= 0.8, "warning").otherwise("ok")
+
+
+def display_lines(rows: DataFrame, by: str, order: list[str], said: str, mark: str = "\n") -> DataFrame:
+    """The texts of each group in order, as one text; groups must be bounded."""
+    items = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(said).alias("_said")))).alias("_items"))
+    return items.select(by, F.array_join(F.transform("_items", lambda i: i["_said"]), mark).alias("lines"))

@@ -115,3 +115,25 @@ def retry_delays(tries: int, retry_after: int | None = None, cap: int = 30, left
             break
         found.append(wait)
     return found
+
+
+def rejections_by_run(rejections: DataFrame, run: str = "run_id", key: str = "id") -> DataFrame:
+    return rejections.groupBy(run).agg(F.count(key).alias("rejections"))
+
+
+def committed_ids(pages: DataFrame, run: str, ids: str) -> DataFrame:
+    """Of each run's pages: how many, how many distinct accepted ids, and how many in all."""
+    flat = pages.select(run, F.explode_outer(ids).alias("_id"))
+    found = flat.groupBy(run).agg(F.count_distinct("_id").alias("records"), F.count("_id").alias("flat"))
+    return found.join(pages.groupBy(run).agg(F.count("*").alias("pages")), run)
+
+
+#: Checks of a worker's readiness, by name; what is not met is listed.
+READINESS = ["database", "schema", "providers", "registry", "calendar", "archive", "lease", "scheduler", "secrets", "delivery"]
+
+
+def unmet(checks: DataFrame) -> DataFrame:
+    """One row: whether all checks (name, ok) are met, and the sorted names of those that are not or that nobody made."""
+    met = F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("name"))))
+    asked = F.array(*[F.lit(x) for x in READINESS])
+    return checks.agg(F.array_sort(F.array_except(asked, met)).alias("unmet")).select((F.size("unmet") == 0).alias("ready"), "unmet")

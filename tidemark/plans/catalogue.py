@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, numbers, symbols, text
-from tidemark.operators import context, extensions, merge, paging, pit, quality, workflow
+from tidemark.operators import context, extensions, merge, paging, pit, quality, report, workflow
 from tidemark.operators import queries as reads
 from tidemark.plans.facts import cents, line_revisions, moment, news, observations, order_bases, table, validity
+from tidemark.streaming.windows import windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -85,27 +86,11 @@ def q_evidence_ranked(spark, d):
     return rows.select(*VERSION, "evidence_rank")
 
 
-@query(f"""WITH {BASES} SELECT fact_id, owner_id, available_at, checksum, value_cents, version_rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY available_at DESC NULLS FIRST, version_rank DESC, checksum DESC NULLS FIRST) AS r
-  FROM (SELECT *, CASE WHEN value_cents % 2 = 0 THEN source_checksum END AS checksum FROM versions
-        WHERE available_at <= TIMESTAMP '{KNOWN}' AND (version_rank = 0 OR value_cents % 2 = 0 OR value_cents % 7 = 0))
-  QUALIFY count(*) FILTER (checksum IS NULL) OVER (PARTITION BY fact_id, available_at, version_rank) <= 1) WHERE r = 1""")
-def q_null_rank_release(spark, d):
-    rows = pit.versions(order_bases(spark, d), line_revisions(spark, d), "fact_id", ["fact_id", "owner_id"], moment(KNOWN))
-    even = F.col("value_cents") % 2 == 0
-    rows = rows.where((F.col("version_rank") == 0) | even | (F.col("value_cents") % 7 == 0)).withColumn("checksum", F.when(even, F.col("source_checksum")))
-    from pyspark.sql import Window
-
-    alone = F.sum(F.col("checksum").isNull().cast("int")).over(Window.partitionBy("fact_id", "available_at", "version_rank"))
-    rows = rows.withColumn("nulls", alone).where("nulls <= 1")
-    return pit.current_versions(rows, "fact_id", checksum="checksum", nulls="first").select("fact_id", "owner_id", "available_at", "checksum", "value_cents", "version_rank")
-
-
 @query(f"""WITH {BASES} SELECT fact_id, owner_id, available_at, checksum, value_cents, version_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY available_at DESC NULLS FIRST, version_rank DESC, checksum DESC NULLS FIRST, source_checksum DESC) AS r
   FROM (SELECT *, CASE WHEN value_cents % 2 = 0 THEN source_checksum END AS checksum FROM versions WHERE available_at <= TIMESTAMP '{KNOWN}')) WHERE r = 1""")
-def q_null_rank_all(spark, d):
-    """As q_null_rank_release, over all versions; of several without a checksum the greatest source_checksum counts."""
+def q_null_rank_release(spark, d):
+    """Of several versions without a checksum the greatest source_checksum counts."""
     rows = pit.versions(order_bases(spark, d), line_revisions(spark, d), "fact_id", ["fact_id", "owner_id"], moment(KNOWN))
     rows = rows.withColumn("checksum", F.when(F.col("value_cents") % 2 == 0, F.col("source_checksum")))
     found = pit.current_versions(rows, "fact_id", checksum="checksum", nulls="first", tie="source_checksum")
@@ -158,24 +143,11 @@ def q_effective_date_lookup(spark, d):
     return found.select("o_orderkey", "instrument_id", "alias")
 
 
-@query(f"""WITH {VALID}, asked AS (SELECT DISTINCT alias, DATE '1998-03-01' AS day FROM validity WHERE instrument_id < 50),
-few AS (SELECT * FROM validity WHERE instrument_id < 200),
-met AS (SELECT a.alias, count(DISTINCT CASE WHEN valid_from <= day AND (valid_to IS NULL OR day < valid_to) THEN instrument_id END) AS n, min(CASE WHEN valid_from <= day AND (valid_to IS NULL OR day < valid_to) THEN instrument_id END) AS one
-  FROM asked a LEFT JOIN few s ON s.alias = a.alias GROUP BY a.alias)
-SELECT alias, CASE WHEN n = 1 THEN one ELSE -1 END AS instrument_id, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'resolved' ELSE 'inactive' END AS status FROM met""")
-def q_alias_resolution(spark, d):
-    ranges = validity(spark, d)
-    asked = ranges.where("instrument_id < 50").select("alias").distinct().withColumn("day", F.lit("1998-03-01").cast("date"))
-    found = pit.resolve_aliases(asked, ranges.where("instrument_id < 200"), ["alias"], "day")
-    return found.select("alias", F.coalesce("instrument_id", F.lit(-1)).alias("instrument_id"), "status")
-
-
 @query(f"""WITH {VALID}, held AS (SELECT alias || '#' || (instrument_id // 10) AS symbol, * FROM validity), asked AS (SELECT DISTINCT symbol, DATE '1998-03-01' AS day FROM held),
 met AS (SELECT a.symbol, count(DISTINCT CASE WHEN valid_from <= day AND (valid_to IS NULL OR day < valid_to) THEN instrument_id END) AS n, min(CASE WHEN valid_from <= day AND (valid_to IS NULL OR day < valid_to) THEN instrument_id END) AS one
   FROM asked a JOIN held s ON s.symbol = a.symbol GROUP BY a.symbol)
 SELECT symbol, CASE WHEN n = 1 THEN one ELSE -1 END AS instrument_id, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'resolved' ELSE 'inactive' END AS status FROM met""")
-def q_alias_all(spark, d):
-    """As q_alias_resolution, for all owners, under the finer aliases of q_alias_overlap."""
+def q_alias_resolution(spark, d):
     held = validity(spark, d).withColumn("symbol", F.concat_ws("#", "alias", F.floor(F.col("instrument_id") / 10).cast("string")))
     asked = held.select("symbol").distinct().withColumn("day", F.lit("1998-03-01").cast("date"))
     found = pit.resolve_aliases(asked, held, ["symbol"], "day")
@@ -252,7 +224,8 @@ def q_coverage_matrix(spark, d):
 
 @query("SELECT user_id AS run_id, count(event_id) AS rejections FROM events WHERE event_type = 'error' GROUP BY user_id")
 def q_rejection_counts(spark, d):
-    return table(spark, d, "events").where("event_type = 'error'").groupBy(F.col("user_id").alias("run_id")).agg(F.count("event_id").alias("rejections"))
+    errors = table(spark, d, "events").where("event_type = 'error'").withColumnRenamed("user_id", "run_id")
+    return workflow.rejections_by_run(errors, "run_id", "event_id")
 
 
 @query("""SELECT user_id, CASE WHEN max(ts) > TIMESTAMP '2024-01-30 12:00:00' THEN 'late' WHEN epoch_us(TIMESTAMP '2024-01-30 12:00:00') / 1e6 - epoch_us(min(ts)) / 1e6 > 36 * 3600 * 19 THEN 'stale'
@@ -264,8 +237,8 @@ def q_late_stale_status(spark, d):
 
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate <= TIMESTAMP '1997-01-01')")
 def q_exists_revision(spark, d):
-    found = table(spark, d, "lineitem").where(F.col("l_shipdate") <= moment("1997-01-01 00:00:00"))
-    return table(spark, d, "orders").join(found, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("o_orderkey")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    return pit.with_version_before(table(spark, d, "orders").select("o_orderkey"), lines, ["o_orderkey"], moment("1997-01-01 00:00:00"), "l_shipdate")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')")
@@ -299,20 +272,10 @@ def q_url_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical_url"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]),
-  '\+([0-9])', ' plus \1', 'g'), '[-−]([0-9])', ' minus \1', 'g'), '([0-9])[.,]([0-9])', '\1' || chr(1) || '\2', 'g'), '([0-9])[.,]([0-9])', '\1' || chr(1) || '\2', 'g'), '\p{P}', ' ', 'g'), chr(1), '.'), '\s+', ' ', 'g')) AS matched FROM documents
-WHERE NOT regexp_matches(string_split(text, chr(10))[1], '[0-9]\p{P}[0-9]') OR regexp_matches(string_split(text, chr(10))[1], '^[^:/()@]*$')""")
-def q_title_normalise(spark, d):
-    first = F.substring_index("text", "\n", 1)
-    rows = table(spark, d, "documents").where(~first.rlike(r"[0-9]\p{P}[0-9]") | first.rlike("^[^:/()@]*$"))
-    return rows.select("doc_id", text.simple_title(first).alias("matched"))
-
-
 @query(r"""SELECT doc_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]),
   '\+([0-9])', ' plus \1', 'g'), '[-−]([0-9])', ' minus \1', 'g'), '([0-9])[.,]([0-9])', '\1' || chr(1) || '\2', 'g'), '([0-9])[.,]([0-9])', '\1' || chr(1) || '\2', 'g'),
   '([0-9])\p{P}([0-9])', '\1|\2', 'g'), '([0-9])\p{P}([0-9])', '\1|\2', 'g'), '\p{P}', ' ', 'g'), chr(1), '.'), '\s+', ' ', 'g')) AS matched FROM documents""")
-def q_title_all(spark, d):
-    """As q_title_normalise, for all documents."""
+def q_title_normalise(spark, d):
     return table(spark, d, "documents").select("doc_id", text.simple_title(F.substring_index("text", "\n", 1)).alias("matched"))
 
 
@@ -328,7 +291,7 @@ def q_json_checksums(spark, d):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def q_json_props(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return table(spark, d, "events").select("event_id", text.json_field(F.col("props"), "k").cast("long").alias("k"))
 
 
 @query("""SELECT event_id, strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York', '%Y-%m-%d') AS us_day, strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Shanghai', '%Y-%m-%d') AS cn_day FROM events""")
@@ -353,11 +316,11 @@ def q_session_window(spark, d):
     return found.select("event_id", F.col("day").cast("string").alias("day"), "status", dates.iso_instant(F.col("close_at")).alias("close_at"))
 
 
-@query("""WITH sessions AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS s FROM orders WHERE o_orderkey % 50 = 0), days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
+@query("""WITH sessions AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS s FROM orders WHERE isodow(o_orderdate) < 6 AND extract(day FROM o_orderdate) <> 1), days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
 SELECT CAST(day AS VARCHAR) AS day, CAST((SELECT max(s) FROM sessions WHERE s < day) AS VARCHAR) AS previous_session FROM days""")
 def q_previous_session(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    found = dates.previous_session(orders.select("day").distinct(), "day", orders.where("o_orderkey % 50 = 0").select("day"))
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    found = dates.previous_session(days, "day", days.where(dates.weekday_open(F.col("day")) & (F.dayofmonth("day") != 1)))
     return found.select(F.col("day").cast("string").alias("day"), F.col("previous_session").cast("string").alias("previous_session"))
 
 
@@ -445,18 +408,14 @@ def q_merge_insert_absent(spark, d):
 
 @query("SELECT o_custkey AS run_id, count(DISTINCT o_orderkey) AS records, count(*) AS flat FROM orders GROUP BY o_custkey")
 def q_array_flatten_ids(spark, d):
-    pages = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("page")).agg(F.collect_list("o_orderkey").alias("ids"))
-    flat = pages.select(F.col("o_custkey").alias("run_id"), F.explode("ids").alias("id"))
-    return flat.groupBy("run_id").agg(F.count_distinct("id").alias("records"), F.count("*").alias("flat"))
+    pages = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run_id"), F.year("o_orderdate").alias("page")).agg(F.collect_list("o_orderkey").alias("ids"))
+    return workflow.committed_ids(pages, "run_id", "ids").select("run_id", "records", "flat")
 
 
-@query("""SELECT user_id, CASE max(CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END) WHEN 3 THEN 'blocked' WHEN 2 THEN 'retryable' WHEN 1 THEN 'degraded' ELSE 'passed' END AS status FROM events
-WHERE ts < TIMESTAMP '2024-01-02' GROUP BY user_id""")
+@query("""SELECT user_id, CASE max(CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END) WHEN 3 THEN 'blocked' WHEN 2 THEN 'retryable' WHEN 1 THEN 'degraded' ELSE 'passed' END AS status FROM events GROUP BY user_id""")
 def q_status_lattice(spark, d):
-    rank = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 1).otherwise(0)
-    names = F.array(*[F.lit(x) for x in ("passed", "degraded", "retryable", "blocked")])
-    worst = table(spark, d, "events").where(F.col("ts") < moment("2024-01-02 00:00:00")).groupBy("user_id").agg(F.max(rank).alias("r"))
-    return worst.select("user_id", F.get(names, F.col("r")).alias("status"))
+    said = F.when(F.col("event_type") == "error", "blocked").when(F.col("event_type") == "purchase", "retryable").when(F.col("event_type") == "signup", "degraded").otherwise("passed")
+    return quality.worst_of(table(spark, d, "events").withColumn("status", said), ["user_id"])
 
 
 @query("""WITH expected AS (SELECT s_suppkey AS input_id, s_suppkey % 3 <> 0 AS required FROM supplier), quality AS (
@@ -488,7 +447,7 @@ def q_claim_check(spark, d):
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS news_id, count(*) AS copies FROM documents GROUP BY text")
 def q_content_hash_dedup(spark, d):
-    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("news_id"), F.count("*").alias("copies"))
+    return merge.copies(table(spark, d, "documents"), F.sha2("text", 256), "doc_id").select("content_hash", F.col("first").alias("news_id"), "copies")
 
 
 @query("""WITH asked AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'SH' || lpad(CAST(s_suppkey AS VARCHAR), 6, '6') WHEN 1 THEN lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.sz' WHEN 2 THEN CAST(s_suppkey AS VARCHAR) || '.HK' WHEN 3 THEN 'XSHG:12' ELSE 'ABC' END AS symbol FROM supplier)
@@ -514,8 +473,9 @@ def q_us_symbols(spark, d):
 
 @query("""SELECT n_name AS name, count(*) AS pairs FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey WHERE c_acctbal > s_acctbal GROUP BY n_name""")
 def q_theta_within_key(spark, d):
-    met = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return met.where("c_acctbal > s_acctbal").groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("pairs"))
+    customers = table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_acctbal")
+    met = extensions.theta_join(customers, table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_acctbal"), ["n_nationkey"], F.col("c_acctbal") > F.col("s_acctbal"))
+    return met.join(table(spark, d, "nation"), "n_nationkey").groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("pairs"))
 
 
 @query("""SELECT release_id, CASE WHEN release_id % 2 = 0 THEN 'ok' ELSE 'schedule_needs_one' END AS issue FROM (SELECT o_orderkey AS release_id FROM orders)""")
@@ -531,13 +491,12 @@ def q_schedule_check(spark, d):
 
 @query(f"""SELECT observation_id, series_id, period_end, available_at, value_cents FROM ({OBSERVED}) WHERE available_at <= least(TIMESTAMP '{SEEN}', TIMESTAMP '2024-01-12 06:00:00') AND available_at >= TIMESTAMP '2024-01-03'""")
 def q_two_clocks(spark, d):
-    rows = observations(spark, d).where(F.col("available_at") <= F.least(moment(SEEN), moment("2024-01-12 06:00:00")))
-    return rows.where(F.col("available_at") >= moment("2024-01-03 00:00:00")).select(*OBSERVATION)
+    return reads.visible(observations(spark, d), moment(SEEN), moment("2024-01-12 06:00:00")).where(F.col("available_at") >= moment("2024-01-03 00:00:00")).select(*OBSERVATION)
 
 
 @query(f"""WITH {COPIES} SELECT doc_id AS news_id FROM copies WHERE replaces IS NULL""")
 def q_originals_only(spark, d):
-    return news(spark, d).where("supersedes_news_id IS NULL").select("news_id")
+    return reads.originals_only(news(spark, d)).select("news_id")
 
 
 @query("""SELECT doc_id AS news_id, doc_id % 3 >= 1 AS satisfied FROM documents""")
@@ -582,16 +541,13 @@ def q_allowed_url(spark, d):
 
 @query("""SELECT conv_id, count(*) AS turns, max(turn) - min(turn) + 1 = count(DISTINCT turn) AS gapless, arg_max(role, turn) AS last_role FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY ALL) GROUP BY conv_id""")
 def q_ordered_turns(spark, d):
-    rows = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
-    return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), (F.max("turn") - F.min("turn") + 1 == F.count_distinct("turn")).alias("gapless"), F.max_by("role", "turn").alias("last_role"))
+    return extensions.sequences(table(spark, d, "conversations"), "conv_id", "turn", "role").select("conv_id", F.col("places").alias("turns"), "gapless", F.col("last").alias("last_role"))
 
 
 @query("""SELECT doc_id, md5(text) IN (SELECT md5(text) FROM documents WHERE source = 'src1') AND source <> 'src1' AS seen_before FROM documents""")
 def q_repeated_on_other_page(spark, d):
-    docs = table(spark, d, "documents")
-    earlier = docs.where("source = 'src1'").select(F.sha2("text", 256).alias("h")).distinct().withColumn("hit", F.lit(True))
-    met = docs.withColumn("h", F.sha2("text", 256)).join(earlier, "h", "left")
-    return met.select("doc_id", (F.coalesce("hit", F.lit(False)) & (F.col("source") != "src1")).alias("seen_before"))
+    docs = table(spark, d, "documents").withColumn("h", F.sha2("text", 256))
+    return merge.seen_before(docs.where("source <> 'src1'"), docs.where("source = 'src1'"), ["h"]).unionByName(docs.where("source = 'src1'").withColumn("seen_before", F.lit(False))).select("doc_id", "seen_before")
 
 
 @query(f"""WITH base AS (SELECT user_id AS instrument_id, event_id AS bar_id, ts AS bar_end, CAST(round(value * 100) AS BIGINT) AS close FROM events WHERE ts <= TIMESTAMP '{SEEN}')
@@ -610,18 +566,16 @@ def q_capabilities(spark, d):
     return reads.capabilities(names, ["CN", "US"]).select(F.col("r_name").alias("region"), F.lit(True).alias("offered"))
 
 
-@query("""SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS items FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' GROUP BY o_custkey""")
+@query("""SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS items FROM orders GROUP BY o_custkey""")
 def q_display_lines(spark, d):
-    rows = table(spark, d, "orders").where(F.col("o_orderdate") < moment("1995-06-01 00:00:00"))
-    items = rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("items"))
-    return items.select("o_custkey", F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["o_orderkey"].cast("string"), i["o_orderstatus"])), ",").alias("items"))
+    rows = table(spark, d, "orders").withColumn("said", F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus"))
+    return report.display_lines(rows, "o_custkey", ["o_orderkey"], "said", ",").withColumnRenamed("lines", "items")
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL""")
 def q_hourly_windows(spark, d):
     rows = table(spark, d, "events").withColumn("cents", cents("value"))
-    found = rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
-    return found.select(F.col("window.start").alias("hour"), "event_type", "n", "cents")
+    return windowed(rows, "ts", "1 hour", ["event_type"], "cents").select(F.col("start").alias("hour"), "event_type", "n", F.col("total").alias("cents"))
 
 
 @query("""SELECT e.event_id, max_by(o.o_orderkey, (o.o_orderdate, o.o_orderkey)) AS last_order FROM events e JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= CAST(e.ts AS DATE) - 9000 + CAST(e.user_id AS INTEGER) * 10 GROUP BY e.event_id""")
@@ -651,26 +605,17 @@ def q_value_changes(spark, d):
     return found.select("o_custkey", "o_orderkey", F.coalesce("change", F.lit(0)).alias("change_cents"))
 
 
-@query(f"""WITH {DAILY}, spans AS (SELECT user_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS d FROM days WHERE user_id < 20 GROUP BY user_id)
-SELECT s.user_id, strftime(s.d, '%Y-%m-%d') AS day, last_value(close IGNORE NULLS) OVER (PARTITION BY s.user_id ORDER BY s.d ROWS UNBOUNDED PRECEDING) AS close, close IS NULL AS filled FROM spans s LEFT JOIN days t ON s.user_id = t.user_id AND CAST(s.d AS DATE) = t.day""")
-def q_fill_gaps(spark, d):
-    rows = table(spark, d, "events").where("user_id < 20").withColumn("cents", cents("value")).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max_by("cents", F.struct("ts", "event_id")).alias("close"))
-    return extensions.fill_gaps(rows, "user_id", "day", "close").withColumn("day", F.col("day").cast("string"))
-
-
 @query(f"""WITH {DAILY}, spans AS (SELECT user_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS d FROM days GROUP BY user_id)
 SELECT s.user_id, strftime(s.d, '%Y-%m-%d') AS day, last_value(close IGNORE NULLS) OVER (PARTITION BY s.user_id ORDER BY s.d ROWS UNBOUNDED PRECEDING) AS close, close IS NULL AS filled FROM spans s LEFT JOIN days t ON s.user_id = t.user_id AND CAST(s.d AS DATE) = t.day""")
-def q_fill_gaps_all(spark, d):
-    """As q_fill_gaps, for all users."""
+def q_fill_gaps(spark, d):
     rows = table(spark, d, "events").withColumn("cents", cents("value")).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max_by("cents", F.struct("ts", "event_id")).alias("close"))
     return extensions.fill_gaps(rows, "user_id", "day", "close").withColumn("day", F.col("day").cast("string"))
 
 
 @query("""SELECT o_custkey AS series_id, count(*) AS facts, md5(string_agg(said, '|' ORDER BY said)) AS mark FROM (SELECT o_custkey, o_orderkey || ':' || o_orderstatus AS said FROM orders) GROUP BY o_custkey""")
 def q_series_marks(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("series_id"), F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("said"))
-    found = rows.groupBy("series_id").agg(F.count("*").alias("facts"), F.array_join(F.array_sort(F.collect_list("said")), "|").alias("body"))
-    return found.select("series_id", "facts", F.md5(F.col("body").cast("binary")).alias("mark"))
+    rows = table(spark, d, "orders").withColumn("said", F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus"))
+    return context.marks(rows, "o_custkey", "said").select(F.col("o_custkey").alias("series_id"), "facts", "mark")
 
 
 # status of runs
@@ -686,7 +631,7 @@ def q_worker_status(spark, d):
 
 
 @query("""WITH said AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'task' WHEN 'view' THEN 'snapshot' WHEN 'signup' THEN 'generation' WHEN 'purchase' THEN 'delivery' ELSE 'alert' END AS kind,
-  CASE event_type WHEN 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' ELSE 'pending' END WHEN 'error' THEN CASE event_id % 2 WHEN 0 THEN 'succeeded' ELSE 'failed' END WHEN 'signup' THEN CASE event_id % 2 WHEN 0 THEN 'failed' ELSE 'running' END WHEN 'view' THEN CASE event_id % 2 WHEN 0 THEN 'blocked' ELSE 'passed' END ELSE 'done' END AS status, event_id FROM events WHERE ts < TIMESTAMP '2024-01-01 18:00:00'),
+  CASE event_type WHEN 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' ELSE 'pending' END WHEN 'error' THEN CASE event_id % 2 WHEN 0 THEN 'succeeded' ELSE 'failed' END WHEN 'signup' THEN CASE event_id % 2 WHEN 0 THEN 'failed' ELSE 'running' END WHEN 'view' THEN CASE event_id % 2 WHEN 0 THEN 'blocked' ELSE 'passed' END ELSE 'done' END AS status, event_id FROM events),
 last AS (SELECT user_id, arg_max(kind || ':' || status, event_id) FILTER (kind IN ('delivery', 'alert')) AS t, arg_max(status, event_id) FILTER (kind = 'generation') AS g, arg_max(status, event_id) FILTER (kind = 'snapshot') AS s FROM said GROUP BY user_id)
 SELECT user_id AS report_date, CASE WHEN t = 'delivery:succeeded' THEN 'delivered' WHEN t = 'alert:succeeded' THEN 'blocked_alerted' WHEN t IN ('delivery:failed', 'alert:failed') THEN 'attention_required' WHEN t = 'delivery:pending' THEN 'awaiting_delivery'
   WHEN g = 'failed' THEN 'attention_required' WHEN s = 'blocked' THEN 'quality_blocked' WHEN g IS NOT NULL OR s IS NOT NULL THEN 'generating' ELSE 'ingesting' END AS status FROM last""")
@@ -697,18 +642,21 @@ def q_operational_status(spark, d):
         F.when(of == "purchase", F.when(n % 3 == 0, "succeeded").when(n % 3 == 1, "failed").otherwise("pending")).when(of == "error", F.when(n % 2 == 0, "succeeded").otherwise("failed"))
         .when(of == "signup", F.when(n % 2 == 0, "failed").otherwise("running")).when(of == "view", F.when(n % 2 == 0, "blocked").otherwise("passed")).otherwise("done")
     )
-    rows = table(spark, d, "events").where(F.col("ts") < moment("2024-01-01 18:00:00")).select(F.col("user_id").alias("report_date"), kind.alias("kind"), status.alias("status"), n.alias("at"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("report_date"), kind.alias("kind"), status.alias("status"), n.alias("at"))
     return workflow.operational_status(rows)
 
 
-@query("""WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'), opened AS (
+@query("""WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), opened AS (
   SELECT day, isodow(day) < 6 AND extract(day FROM day) <> 1 AS cn, isodow(day) < 6 AND extract(day FROM day) <> 2 AS hk, isodow(day) < 6 AS us FROM days)
 SELECT strftime(day, '%Y-%m-%d') AS day, CASE WHEN isodow(day) >= 6 THEN 'weekend' WHEN NOT (cn AND hk AND us) THEN 'regional_holiday' ELSE 'regular' END AS day_type,
   array_to_string(list_filter([CASE WHEN NOT cn THEN 'market.cn' END, CASE WHEN NOT hk THEN 'market.hk' END, CASE WHEN NOT us THEN 'market.us' END], lambda x: x IS NOT NULL), ',') AS optional,
   array_to_string(list_sort(list_concat(['calendar.global', 'news.cn', 'news.us'], list_filter([CASE WHEN cn THEN 'market.cn' END, CASE WHEN hk THEN 'market.hk' END, CASE WHEN us THEN 'market.us' END], lambda x: x IS NOT NULL))), ',') AS required FROM opened""")
 def q_day_policy(spark, d):
-    days = table(spark, d, "orders").where(F.col("o_orderdate") < moment("1996-01-01 00:00:00")).select(F.to_date("o_orderdate").alias("day")).distinct()
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     opened = days.where(dates.weekday_open(F.col("day"))).select("day", F.explode(F.array(*[F.lit(r) for r in ("CN", "HK", "US")])).alias("region"))
     opened = opened.where(~((F.col("region") == "CN") & (F.dayofmonth("day") == 1)) & ~((F.col("region") == "HK") & (F.dayofmonth("day") == 2)))
     found = workflow.day_policy(days, opened)
     return found.select(F.col("day").cast("string").alias("day"), "day_type", F.array_join("optional", ",").alias("optional"), F.array_join("required", ",").alias("required"))
+
+
+from tidemark.plans import extras, library  # noqa: E402, F401  they register their queries here

@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -16,28 +17,59 @@ from pyspark.sql import functions as F
 MAX_SHEET_BYTES = 50_000_000
 
 
+@dataclass
+class _Open:
+    """A table being read: its number, its rows, and the texts of the cell that is open in it."""
+
+    number: int
+    rows: list[list[str]]
+    cell: list[str] | None = None
+
+    def end_cell(self) -> None:
+        if self.cell is not None:
+            self.rows[-1].append(" ".join("".join(self.cell).split()))
+        self.cell = None
+
+
 class _Tables(html.parser.HTMLParser):
+    """Rows of all tables in the order in which they begin.
+
+    Closing tags of cells and rows may be absent; a table within a cell is a table of its own, and the
+    cell goes on after it.
+    """
+
     def __init__(self):
         super().__init__()
-        self.tables: list[list[list[str]]] = []
-        self.cell: list[str] | None = None
+        self.found: list[list[list[str]]] = []
+        self.open: list[_Open] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "table":
-            self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables and self.tables[-1]:
-            self.cell = []
+            self.found.append([])
+            self.open.append(_Open(len(self.found) - 1, self.found[-1]))
+        if not self.open or tag not in ("tr", "td", "th"):
+            return
+        now = self.open[-1]
+        now.end_cell()
+        if tag == "tr" or not now.rows:
+            now.rows.append([])
+        if tag != "tr":
+            now.cell = []
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th") and self.cell is not None:
-            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
+        if self.open and tag in ("td", "th", "tr", "table"):
+            self.open[-1].end_cell()
+            if tag == "table":
+                self.open.pop()
 
     def handle_data(self, data: str) -> None:
-        if self.cell is not None:
-            self.cell.append(data)
+        if self.open and self.open[-1].cell is not None:
+            self.open[-1].cell.append(data)
+
+    def close(self) -> None:
+        super().close()
+        for table in self.open:
+            table.end_cell()
 
 
 class _Links(html.parser.HTMLParser):
@@ -77,7 +109,8 @@ def html_tables(df: DataFrame, key: str, column: str = "html") -> DataFrame:
     def one(text: str) -> list[tuple]:
         parser = _Tables()
         parser.feed(text)
-        return [(t, r, cells) for t, rows in enumerate(parser.tables) for r, cells in enumerate(rows)]
+        parser.close()
+        return [(t, r, cells) for t, rows in enumerate(parser.found) for r, cells in enumerate(rows)]
 
     return _each(df, key, column, "table_no int, row_no int, cells array<string>", one)
 
@@ -189,3 +222,46 @@ def page_year(text: Column) -> Column:
 def symbol_list(text: Column) -> Column:
     """Distinct symbols of a comma-separated text."""
     return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.upper(F.trim(x))), lambda x: x != ""))
+
+
+def last_file_wins(releases: DataFrame, place: str, key: str = "release_id") -> DataFrame:
+    """Releases of several yearly files, each once: of one id the row of the file that comes last, in order of schedule and id."""
+    by = Window.partitionBy(key).orderBy(F.col(place).desc())
+    kept = releases.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    return kept.orderBy(F.coalesce("scheduled_at", F.col("scheduled_date").cast("timestamp")).asc_nulls_last(), key)
+
+
+def calendar_releases(rows: DataFrame, region: str, provider: str, url: str, fetched_at: Column) -> DataFrame:
+    """Rows of macro_releases from calendar rows (name, scheduled_at, scheduled_date); what a calendar doesn't tell is null.
+
+    A release's period is the month before its day.
+    """
+    from tidemark import schemas
+    from tidemark.functions.dates import iso_instant
+    from tidemark.functions.text import joined_id, stable_id
+
+    day = F.coalesce("scheduled_date", F.to_date("scheduled_at"))
+    before = F.add_months(F.trunc(day, "month"), -1)
+    series = stable_id("series", F.lit(region), F.lit(provider), F.col("name"), length=32)
+    when = F.coalesce(iso_instant(F.col("scheduled_at")), F.col("scheduled_date").cast("string"))
+    told = {
+        "release_id": joined_id("rel_", series, when, before.cast("string"), F.last_day(before).cast("string"), F.col("name")), "region": F.lit(region), "series_id": series, "release_name": F.col("name"),
+        "scheduled_at": F.col("scheduled_at"), "scheduled_date": F.col("scheduled_date"), "time_precision": F.when(F.col("scheduled_at").isNotNull(), "instant").otherwise("date"), "available_at": fetched_at,
+        "period_start": before, "period_end": F.last_day(before), "status": F.lit("scheduled"), "source_checksum": F.sha2(F.concat_ws("|", "name", when), 256),
+    }
+    shape = rows.sparkSession.createDataFrame([], schemas.SCHEMAS["macro_releases"]).schema
+    none = F.lit(None).cast("string")
+    told["source"] = F.struct(F.lit(provider), F.col("name"), F.lit(provider), none, F.lit(url), fetched_at, F.lit(None).cast("timestamp"), told["source_checksum"])
+    return rows.select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
+
+
+def pdf_calendar(pages: DataFrame, key: str, text: str, year: Column) -> DataFrame:
+    """name and twelve days of each line 'indicator d d d ...' of a calendar's plain text, one row for each month.
+
+    The text of a PDF must have been taken out before; twelve days in a row after a name make a line.
+    """
+    line = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?m)^(\D[^\n]*?(?:[ \t]+\d{1,2}){12})[ \t]*$"), F.lit(1))).alias("line")
+    parts = pages.select(key, line).select(key, F.trim(F.regexp_replace("line", r"(?:[ \t]+\d{1,2}){12}$", "")).alias("name"), F.regexp_extract_all("line", F.lit(r"[ \t](\d{1,2})(?=[ \t]|$)"), F.lit(1)).alias("all"))
+    days = parts.select(key, "name", F.posexplode(F.slice("all", F.size("all") - 11, 12)).alias("m", "day"))
+    at = F.try_make_timestamp_ntz(year.cast("int"), F.col("m") + 1, F.col("day").cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    return days.select("name", at.alias("scheduled_date"), F.lit(None).cast("timestamp").alias("scheduled_at")).where("scheduled_date IS NOT NULL")

@@ -7,11 +7,12 @@ texts until their dataset's schema is applied, so that unknown keys can be seen.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Error codes of an envelope and what they mean.
@@ -30,39 +31,66 @@ class SourceError(RuntimeError):
         self.code, self.retryable, self.retry_after = code, code in RETRYABLE, retry_after
 
 
+NAMES = ["path", "dataset", "page", "cursor", "next_cursor", "record", "checksum", "watermark", "error"]
+#: Keys that say how and when a record was fetched, not what it says.
+VOLATILE = {"retrieved_at", "http_headers", "download_path", "batch_id"}
+
+
+def _canonical(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=str)
+
+
+def _checksum(item: object) -> str:
+    plain = {k: v for k, v in item.items() if k not in VOLATILE} if isinstance(item, dict) else item
+    return hashlib.sha256(_canonical(plain).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _text(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else _canonical(value)
+
+
 def _parse(path: str, text: str) -> list[tuple]:
+    """Rows of one file; whatever is not of the form of an envelope is a schema error, never an exception."""
+    wrong = [(path, None, None, None, None, None, None, None, "SCHEMA_ERROR")]
     if "<html" in text[:200].lower():
-        return [(path, None, None, None, None, None, None, "SCHEMA_ERROR")]
+        return wrong
     try:
         payload = json.loads(text)
-    except ValueError:
-        payload = None
+    except (ValueError, RecursionError):
+        return wrong
     if not isinstance(payload, dict):
-        return [(path, None, None, None, None, None, None, "SCHEMA_ERROR")]
+        return wrong
     if payload.get("status") != "ok":
-        error = payload.get("error") or {}
+        error = payload.get("error")
+        if not isinstance(error, dict):
+            return wrong
         code = ERRORS.get(str(error.get("code", "")).lower(), "UNAVAILABLE")
-        return [(path, None, None, None, None, None, str(error.get("retry_after_seconds", "")), code)]
-    rows = []
-    for dataset, pages in (payload.get("pages") or {}).items():
+        after = error.get("retry_after_seconds")
+        return [(path, None, None, None, None, None, None, "" if after is None else str(after), code)]
+    datasets = payload.get("pages")
+    if not isinstance(datasets, dict):
+        return wrong
+    rows, watermark = [], _text(payload.get("source_watermark"))
+    for dataset, pages in datasets.items():
         for number, page in enumerate(pages if isinstance(pages, list) else [pages]):
-            for item in page.get("items", []):
-                rows.append((path, dataset, number, page.get("cursor"), page.get("next_cursor"), json.dumps(item, ensure_ascii=False, sort_keys=True), payload.get("source_watermark"), None))
-            if not page.get("items"):
-                rows.append((path, dataset, number, page.get("cursor"), page.get("next_cursor"), None, payload.get("source_watermark"), None))
+            items = page.get("items") if isinstance(page, dict) else None
+            if not isinstance(items, list):
+                return wrong
+            head = (path, dataset, number, _text(page.get("cursor")), _text(page.get("next_cursor")))
+            # a record that is no object stays as it is, to be set aside when its dataset is read
+            rows += [(*head, _canonical(item), _checksum(item), watermark, None) for item in items] or [(*head, None, None, watermark, None)]
     return rows
 
 
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
-    """path, dataset, page, cursor, next_cursor, record (JSON), watermark and error of all files; an empty page has a null record."""
+    """path, dataset, page, cursor, next_cursor, record (JSON), its checksum, watermark and error of all files; an empty page has a null record."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "dataset", "page", "cursor", "next_cursor", "record", "watermark", "error"]
         for batch in batches:
-            yield pd.DataFrame([r for p, t in zip(batch.path, batch.value, strict=True) for r in _parse(p, t)], columns=names)
+            yield pd.DataFrame([r for p, t in zip(batch.path, batch.value, strict=True) for r in _parse(p, t)], columns=NAMES)
 
-    return files.mapInPandas(run, "path string, dataset string, page int, cursor string, next_cursor string, record string, watermark string, error string")
+    return files.mapInPandas(run, "path string, dataset string, page int, cursor string, next_cursor string, record string, checksum string, watermark string, error string")
 
 
 def raise_for_errors(envelopes: DataFrame) -> DataFrame:
@@ -82,6 +110,20 @@ def page_at(envelopes: DataFrame, dataset: str, cursor: str | None) -> DataFrame
     return page
 
 
+def on_earlier_pages(envelopes: DataFrame, dataset: str, page: int) -> DataFrame:
+    """Record ids of a page that an earlier page of its dataset also has."""
+    ids = envelopes.where((F.col("dataset") == dataset) & F.col("record").isNotNull()).select("page", F.get_json_object("record", "$.record_id").alias("record_id"))
+    return ids.where(F.col("page") == page).select("record_id").join(ids.where(F.col("page") < page).select("record_id"), "record_id", "left_semi").distinct()
+
+
+def empty_pages(envelopes: DataFrame, dataset: str) -> int:
+    """The longest run of neighbouring pages without a record; more than two mean that a source does not go on."""
+    pages = envelopes.where(F.col("dataset") == dataset).groupBy("path", "page").agg(F.count("record").alias("n"))
+    by = Window.partitionBy("path").orderBy("page")
+    marked = pages.withColumn("run", F.sum((F.col("n") > 0).cast("int")).over(by)).where("n = 0")
+    return marked.groupBy("path", "run").count().agg(F.max("count")).first()[0] or 0
+
+
 def repeated_records(envelopes: DataFrame) -> DataFrame:
     """Record ids that occur more than once in a dataset, on one page or several."""
     ids = envelopes.where("record IS NOT NULL").select("dataset", F.get_json_object("record", "$.record_id").alias("record_id"))
