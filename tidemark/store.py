@@ -56,7 +56,14 @@ class FactStore:
 
     def _files(self) -> list:
         """Rows of the files that count; a bounded number for each bucket."""
-        return _live(self.manifest.read()).orderBy("place").collect()
+        older = self.manifest.older()
+        last: dict[tuple[str, int], list] = {}
+        for r in [*(sorted(older.collect(), key=lambda r: r.place) if older is not None else []), *self.manifest.recent()]:
+            held = last.setdefault((r.name, r.bucket), [])
+            if r.whole:
+                held.clear()
+            held.append(r)
+        return sorted((r for held in last.values() for r in held), key=lambda r: (r.place, r.name, r.bucket))
 
     def _read(self, name: str, files: list, buckets: list[int] | None = None) -> DataFrame:
         schema = schemas.SCHEMAS[LIKE.get(name, name)]
@@ -81,8 +88,8 @@ class FactStore:
         files = self._files()
         if keys is None:
             return self._read(name, files)
-        wanted = self.spark.createDataFrame([(k,) for k in sorted(keys)], "k string").select(self._bucket(files, F.col("k"))).distinct().collect()
-        return self._read(name, files, [r[0] for r in wanted])
+        wanted = self.spark.range(1).select(F.array(*[self._bucket(files, F.lit(k)) for k in sorted(keys)])).first()[0] if keys else []
+        return self._read(name, files, wanted)
 
     def _commit(self, files: list, after: int, changes: list[tuple[str, DataFrame, bool]]) -> None:
         """Write (table, rows, whether they replace their buckets) and name all files in one entry."""

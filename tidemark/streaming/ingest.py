@@ -47,8 +47,13 @@ class PageStore:
     def _own(self) -> DataFrame:
         return self.manifest.read().where((F.col("role") == self.role) & (F.col("dataset") == self.dataset) & (F.col("region") == self.region))
 
+    def _mine(self, r) -> bool:
+        return (r.role, r.dataset, r.region) == (self.role, self.dataset, self.region)
+
     def committed(self, fingerprint: str) -> bool:
-        return not self._own().where(F.col("fingerprint") == fingerprint).isEmpty()
+        if any(self._mine(r) and r.fingerprint == fingerprint for r in self.manifest.recent()):
+            return True
+        return self.manifest.older() is not None and not self._own().where(F.col("fingerprint") == fingerprint).isEmpty()
 
     def commit(self, page: DataFrame, query: str, watermark: str | None = None, cursor: str | None = None, rejects: DataFrame | None = None, record_id: str | None = None, write: Callable[[DataFrame], None] | None = None) -> bool:
         """False if the page was committed before. Rejects are kept in any case, once for each page.
@@ -78,7 +83,9 @@ class PageStore:
 
     def watermark(self) -> tuple[str | None, str | None]:
         """Watermark and cursor of the last commit; also where to go on after a cursor has expired."""
-        last = self._own().orderBy(F.col("place").desc()).limit(1).collect()
+        last = [r for r in self.manifest.recent() if self._mine(r)][-1:]
+        if not last and self.manifest.older() is not None:
+            last = self._own().orderBy(F.col("place").desc()).limit(1).collect()
         return (last[0].watermark, last[0].cursor) if last else (None, None)
 
     def accepted(self, fingerprints: list[str] | None = None) -> DataFrame:

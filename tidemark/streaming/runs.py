@@ -55,7 +55,9 @@ class StateTable:
 
     def get(self, kind: str, key: str) -> dict | None:
         """The state of one key: status and the fields of its body."""
-        found = self.manifest.read().where((F.col("kind") == kind) & (F.col("key") == key)).orderBy(F.desc("place")).limit(1).collect()
+        found = [r for r in self.manifest.recent() if (r.kind, r.key) == (kind, key)][-1:]
+        if not found and (older := self.manifest.older()) is not None:
+            found = older.where((F.col("kind") == kind) & (F.col("key") == key)).orderBy(F.desc("place")).limit(1).collect()
         return {**json.loads(found[0].body), "status": found[0].status} if found else None
 
     def _put(self, kind: str, key: str, status: str, body: dict, after: int) -> None:
