@@ -88,7 +88,9 @@ US = {
 def read_records(page: DataFrame, fields: list[Field]) -> DataFrame:
     """record, checksum, issues, and r: a struct of the typed fields; `given` says which were there."""
     ddl = ", ".join(f"`{f.name}` {TYPES.get(f.kind, 'string')}" for f in fields)
-    parsed = page.where("record IS NOT NULL").select("record", "checksum", F.from_json("record", ddl).alias("j"), F.coalesce(F.json_object_keys("record"), F.array().cast("array<string>")).alias("given"))
+    # the record is parsed twice: as its dataset's struct, and as a map of texts that tells what was there
+    parsed = page.where("record IS NOT NULL").select("record", "checksum", F.from_json("record", ddl).alias("j"), F.coalesce(F.from_json("record", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("m"))
+    parsed = parsed.withColumn("given", F.map_keys("m"))
     names = [f.name for f in fields]
     tests: dict[str, Column] = {"UNKNOWN_FIELD": F.size(F.array_except("given", F.array(*map(F.lit, names)))) > 0}
     typed = []
@@ -96,9 +98,9 @@ def read_records(page: DataFrame, fields: list[Field]) -> DataFrame:
         said = F.col(f"j.{f.name}")
         value = {"instant": dates.parse_instant, "day": dates.parse_day, "decimal": numbers.to_decimal}.get(f.kind, lambda c: c)(said)
         if f.required:
-            tests[f"MISSING:{f.name}"] = said.isNull() & F.get_json_object("record", f"$.{f.name}").isNull()
+            tests[f"MISSING:{f.name}"] = F.col("m")[f.name].isNull()
         # what was there but is not of its kind
-        tests[f"INVALID:{f.name}"] = value.isNull() & F.get_json_object("record", f"$.{f.name}").isNotNull()
+        tests[f"INVALID:{f.name}"] = value.isNull() & F.col("m")[f.name].isNotNull()
         if f.kind in ENUMS:
             tests[f"INVALID:{f.name}"] = said.isNotNull() & ~said.isin(*ENUMS[f.kind])
         typed.append(value.alias(f.name))
@@ -106,11 +108,16 @@ def read_records(page: DataFrame, fields: list[Field]) -> DataFrame:
 
 
 def _split(rows: DataFrame, dataset: str, columns: dict[str, Column], tests: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Good rows in the dataset's columns, and rejects with code, fields, issues and the redacted record."""
+    """Good rows in the dataset's columns, and rejects with code, fields, issues and the redacted record.
+
+    The verdict is tied to a row number, so that filters on it stay above the parsed record; below, it would
+    be parsed again for each field that a test looks at.
+    """
     judged = rows.withColumn("issues", F.array_sort(F.array_distinct(F.concat("issues", issue_list(tests)))))
+    judged = judged.withColumn("good", (F.size("issues") == 0) & (F.monotonically_increasing_id() >= 0))
     shape = rows.sparkSession.createDataFrame([], schemas.SCHEMAS[dataset]).schema
-    good = judged.where(F.size("issues") == 0).select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
-    bad = judged.where(F.size("issues") > 0).select(F.lit("PROVIDER_RECORD_QUARANTINED").alias("code"), F.array_sort("given").alias("fields"), "issues", text.redacted(F.col("record")).alias("record"))
+    good = judged.where("good").select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
+    bad = judged.where("NOT good").select(F.lit("PROVIDER_RECORD_QUARANTINED").alias("code"), F.array_sort("given").alias("fields"), "issues", text.redacted(F.col("record")).alias("record"))
     return good, bad
 
 
@@ -257,9 +264,10 @@ def us_records(page: DataFrame, dataset: str, provider: str = "us-fixture") -> t
     own, tests = {"region": F.lit("US"), "source_checksum": F.col("checksum")}, {}
     source = lambda record_id, symbol=None: {"source": _source(provider, record_id, r("source_name"), symbol)}
 
-    def timed(*evidence: str) -> dict[str, Column]:
-        found = trusted_availability(r("available_at"), r("retrieved_at"), F.coalesce(*map(r, evidence)), r("availability_basis"))
-        return {"available_at": found["available_at"], "availability_basis": found["basis"]}
+    def timed(rows: DataFrame, *evidence: str) -> DataFrame:
+        return rows.withColumn("timed", trusted_availability(r("available_at"), r("retrieved_at"), F.coalesce(*map(r, evidence)), r("availability_basis")))
+
+    times = {"available_at": F.col("timed.available_at"), "availability_basis": F.col("timed.basis")}
 
     if dataset in ("instruments", "bars"):
         rows = rows.withColumn("s", symbols.us_symbol(r("symbol"), r("exchange")))
@@ -272,32 +280,36 @@ def us_records(page: DataFrame, dataset: str, provider: str = "us-fixture") -> t
         }
         return _split(rows, dataset, columns | source(named(r("symbol"), day("valid_from")), r("symbol")), tests)
     if dataset == "bars":
-        prices = {n: numbers.normalise_us_value(r(n), r("currency")) for n in ("open", "high", "low", "close")}
+        rows = timed(rows, "provider_updated_at").withColumns({f"v_{n}": numbers.normalise_us_value(r(n), r("currency")) for n in ("open", "high", "low", "close")})
+        prices = {n: F.col(f"v_{n}") for n in ("open", "high", "low", "close")}
         counts = {n: numbers.to_decimal(r(n)) for n in ("volume", "turnover")}
         o, h, lo, c = (prices[n]["value"] for n in ("open", "high", "low", "close"))
         tests |= {f"INVALID:{n}": v["value"].isNull() for n, v in prices.items()} | {f"INVALID:{n}": r(n).isNotNull() & v.isNull() for n, v in counts.items()}
         tests |= {"TRADING_DATE_MISMATCH": dates.local_day(r("bar_start"), dates.REGION_ZONES["US"]) != r("trading_date"), "interval_order": r("bar_start") >= r("bar_end"), "low_above_body": lo > F.least(o, c), "high_below_body": h < F.greatest(o, c)}
-        columns = own | plain("interval", "adjustment", "bar_start", "bar_end", "trading_date", "currency", "quality_flags") | {n: v["value"] for n, v in prices.items()} | counts | timed("provider_updated_at") | {
+        columns = own | plain("interval", "adjustment", "bar_start", "bar_end", "trading_date", "currency", "quality_flags") | {n: v["value"] for n, v in prices.items()} | counts | times | {
             "bar_id": own_id("bar_us", instrument, r("interval"), at("bar_start"), r("adjustment"), F.lit(provider)), "instrument_id": instrument,
         }
         return _split(rows, dataset, columns | source(named(r("symbol"), r("interval"), at("bar_start"), r("adjustment")), r("symbol")), tests)
     if dataset == "news":
         return _us_news(rows, provider, own_id, named)
-    value = lambda name: numbers.normalise_us_value(F.coalesce(r(name), F.lit("--")), r("unit"))
-    unit = numbers.normalise_us_value(F.lit("--"), r("unit"))
+    numeric = {"market_observations": ["value"], "macro_observations": ["value"], "macro_releases": ["actual", "consensus", "previous"]}.get(dataset, [])
+    rows = rows.withColumns({**{f"v_{n}": numbers.normalise_us_value(F.coalesce(r(n), F.lit("--")), r("unit")) for n in numeric}, "v_unit": numbers.normalise_us_value(F.lit("--"), r("unit"))})
+    value, unit = (lambda name: F.col(f"v_{name}")), F.col("v_unit")
     tests["UNKNOWN_UNIT"] = unit["unit"].isNull()
     bad = lambda name: ~F.coalesce(value(name)["issue"], F.lit("")).isin("", "not_reported")
     if dataset == "macro_series":
         columns = own | plain("series_id", "authority", "code", "name", "description", "frequency", "transformation", "seasonal_adjustment") | {"unit": unit["unit"]}
         return _split(rows, dataset, columns | source(named(F.concat_ws("-", r("authority"), r("code")))), tests)
     if dataset == "market_observations":
-        columns = own | plain("scope_type", "scope_id", "metric_code", "period_start", "period_end", "observed_at", "dimensions", "quality_flags") | timed("provider_updated_at") | {
+        rows = timed(rows, "provider_updated_at")
+        columns = own | plain("scope_type", "scope_id", "metric_code", "period_start", "period_end", "observed_at", "dimensions", "quality_flags") | times | {
             "observation_id": own_id("obs_us", F.lit("US"), r("scope_type"), r("scope_id"), r("metric_code"), at("observed_at"), F.lit(provider)),
             "value": value("value")["value"], "unit": unit["unit"], "currency": F.coalesce(r("currency"), value("value")["currency"]),
         }
         return _split(rows, dataset, columns | source(named(r("metric_code"), at("observed_at"))), tests | {"INVALID:value": bad("value")})
     if dataset == "macro_observations":
-        columns = own | plain("series_id", "period_start", "period_end", "transformation", "released_at", "vintage_id", "revision_no", "value_status", "supersedes_observation_id", "quality_flags") | timed("provider_updated_at", "released_at") | {
+        rows = timed(rows, "provider_updated_at", "released_at")
+        columns = own | plain("series_id", "period_start", "period_end", "transformation", "released_at", "vintage_id", "revision_no", "value_status", "supersedes_observation_id", "quality_flags") | times | {
             "observation_id": own_id("mobs_us", r("series_id"), day("period_end"), r("vintage_id"), F.lit(provider)), "value": value("value")["value"], "unit": unit["unit"],
         }
         return _split(rows, dataset, columns | source(named(r("series_id"), day("period_end"), r("vintage_id"))), tests | {"INVALID:value": bad("value")})
