@@ -581,3 +581,14 @@ def test_sieve_passes_what_is_wanted(spark):
     assert set(range(0, 5000, 50)) <= some and some | other == set(range(5000)) and not some & other and len(some) < 120
     likely, rest = sieve(rows, "id", spark.range(0))
     assert likely.count() == 0 and rest.count() == 5000
+
+
+def test_sieve_sends_few_rows_through_the_driver(spark, monkeypatch):
+    """The whole bit table, wherever its keys fall, is at most SIEVE_BITS / SIEVE_ROW rows."""
+    from tidemark.llm import common
+
+    tables, plain = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, label: tables.append(plain(df, label)) or tables[-1])
+    likely, rest = common.sieve(spark.range(100_000), "id", spark.range(0, 100_000, 4))
+    assert tables[0].count() <= common.SIEVE_BITS // common.SIEVE_ROW
+    assert likely.where("id % 4 = 0").count() == 25_000 and rest.where("id % 4 = 0").count() == 0 and likely.count() + rest.count() == 100_000
